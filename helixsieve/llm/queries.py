@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixsieve.llm import exact_dedup, langid, mixing, packing, sharding, url_reputation, warc
+from helixsieve.llm import exact_dedup, langid, mixing, packing, sharding, topk, url_reputation, warc
 from helixsieve.llm.common import Scratch, table
 
 
@@ -29,6 +29,11 @@ def op3_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_reputation.filter_urls(table(spark, sf_dir, "pages"), labels).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_ball_tree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op5_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "warc")
     warc.write_warc(table(spark, sf_dir, "pages"), scratch.path("archive"), scratch=scratch)
@@ -53,7 +58,7 @@ def op9_fair_queueing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op3_url_reputation, op5_arc_to_warc, op6_harmonic_packing, op7_exact_dedup, op8_histogram_sort, op9_fair_queueing)}
+    return {f.__name__: f for f in (op1_language_id, op3_url_reputation, op4_ball_tree_topk, op5_arc_to_warc, op6_harmonic_packing, op7_exact_dedup, op8_histogram_sort, op9_fair_queueing)}
 
 
 def oracle_sql() -> dict[str, str]:
