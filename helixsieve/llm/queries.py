@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixsieve.llm import exact_dedup, langid, mixing, packing, sharding, topk, url_reputation, warc
+from helixsieve.llm import exact_dedup, langid, mixing, near_dedup, packing, sharding, topk, url_reputation, warc
 from helixsieve.llm.common import Scratch, table
 
 
@@ -23,6 +23,11 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "langid.lang_pred", "langid.score")
 
 
+def op2_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = near_dedup.near_dedup(table(spark, sf_dir, "documents"), words=2)
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
 def op3_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page's outcome is the label under its id: bad if it is toxic or of no quality."""
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("toxic") == 1) | (F.col("quality") == 0)).alias("bad"))
@@ -58,7 +63,7 @@ def op9_fair_queueing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op3_url_reputation, op4_ball_tree_topk, op5_arc_to_warc, op6_harmonic_packing, op7_exact_dedup, op8_histogram_sort, op9_fair_queueing)}
+    return {f.__name__: f for f in (op1_language_id, op2_lsh_forest, op3_url_reputation, op4_ball_tree_topk, op5_arc_to_warc, op6_harmonic_packing, op7_exact_dedup, op8_histogram_sort, op9_fair_queueing)}
 
 
 def oracle_sql() -> dict[str, str]:
