@@ -90,7 +90,8 @@ def exact_dedup(docs: DataFrame, *, compare_group: int = 256, chunk_chars: int =
     groups = scratch.save(groups, "groups")
     members = scratch.save(prints.select("uid", "fp", "n_bytes").join(groups, ["fp", "n_bytes"]).select("uid", "n", "first"), "members")
 
-    texts = members.join(docs.select("uid", "text"), "uid").withColumn("text", F.regexp_replace("text", r"[\x20\x09-\x0D]+", ""))
+    # Merge hints: joins that meet texts are done the same way at every size.
+    texts = members.hint("merge").join(docs.select("uid", "text"), "uid").withColumn("text", F.regexp_replace("text", r"[\x20\x09-\x0D]+", ""))
     at = F.sequence(F.lit(0), F.floor(F.greatest(F.length("text") - 1, F.lit(0)) / chunk_chars).cast("int"))
     chunks = texts.withColumn("k", F.explode(at)).withColumn("chunk", F.substr("text", F.col("k") * chunk_chars + 1, F.lit(chunk_chars))).drop("text")
     salts = F.ceil(F.col("n") / compare_group).cast("int")
