@@ -67,10 +67,10 @@ def _sets(docs: DataFrame, words: int, trees: int, depth: int, seed: int) -> Dat
                 own = shingles(text, words)
                 row = [len(own), 0, 0, None, None]
                 if len(own):
-                    got = minhash(own, functions)
+                    got = mix(minhash(own, functions).astype(np.uint64))  # minima are small; mixed, every bit tells them apart
                     row[1:3] = [int(h.sum().view(np.int64)) for h in (mix(own), mix(own ^ U(0x5851F42D4C957F2D)))]
-                    row[3] = (got[:SIGNATURE] >> np.uint32(24)).astype(np.uint8).tobytes()
-                    row[4] = mix(got[SIGNATURE:].astype(np.uint64)).astype(">u4").tobytes()
+                    row[3] = (got[:SIGNATURE] >> U(56)).astype(np.uint8).tobytes()
+                    row[4] = (got[SIGNATURE:] >> U(32)).astype(">u4").tobytes()
                 for c, v in zip(cols, row, strict=True):
                     c.append(v)
             types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
