@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixsieve.llm import exact_dedup, langid, mixing, near_dedup, packing, sharding, topk, url_reputation, warc
+from helixsieve.llm import exact_dedup, langid, mixing, near_dedup, packing, sharding, substring_dedup, topk, url_reputation, warc
 from helixsieve.llm.common import Scratch, table
 
 
@@ -62,8 +62,12 @@ def op9_fair_queueing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), window=35).drop("uid")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_lsh_forest, op3_url_reputation, op4_ball_tree_topk, op5_arc_to_warc, op6_harmonic_packing, op7_exact_dedup, op8_histogram_sort, op9_fair_queueing)}
+    return {f.__name__: f for f in (op1_language_id, op2_lsh_forest, op3_url_reputation, op4_ball_tree_topk, op5_arc_to_warc, op6_harmonic_packing, op7_exact_dedup, op8_histogram_sort, op9_fair_queueing, op10_suffix_trees)}
 
 
 def oracle_sql() -> dict[str, str]:
