@@ -1,0 +1 @@
+"""Quality control of sequencing reads as Spark DataFrame transformations."""
