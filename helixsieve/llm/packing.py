@@ -12,8 +12,11 @@ hold the worker's number in their high bits. An empty table gives an empty resul
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
-from collections.abc import Callable, Iterator
+from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,32 +27,60 @@ from pyspark.sql import functions as F
 from helixsieve.llm.common import small_batches
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-#: Words whose ids a worker keeps; beyond, it starts anew.
+#: Words whose ids a worker keeps in each of two generations.
 CACHE_WORDS = 200_000
+#: Only lower-case letters of ASCII and Latin-1, which no normalisation changes.
+LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+#: A letter or digit, then only marks up to the word's end.
+MARKS = re.compile(rb"(.*(?:[a-z0-9]|\xc3[\x9f-\xb6\xb8-\xbf]))([!#$%&*,.:;?|]+)", re.DOTALL)
+#: Byte-level tokenizers show a byte as the character of its code, and bytes without a visible one from 256 on.
+_SEEN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_SHOWN = dict(zip(_SEEN, _SEEN, strict=True)) | {x: 256 + i for i, x in enumerate(sorted(set(range(256)) - set(_SEEN)))}
 
 
-def word_tokenizer(path: str) -> Callable[[list[bytes | None]], list[np.ndarray]]:
-    """A function from UTF-8 texts to ids, for a tokenizer whose tokens never span ASCII white space.
+class WordIds(dict):
+    """Ids of words, as bytes, of a byte-level tokenizer that ignores case and white space and sets marks apart.
 
-    Such a tokenizer gives a text the ids of its words, one after another, so a word's ids are kept for the next time.
+    Such a tokenizer gives a text the ids of its words, one after another, and a word the ids of its letters and of
+    the marks behind them; letters alone are one piece, which goes to the merges at once. Ids are kept in two
+    generations: what has been used since the last change survives it.
     """
-    from tokenizers import Tokenizer
 
-    tokenizer, cache = Tokenizer.from_file(path), {}
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
 
-    def encode(texts: list[bytes | None]) -> list[np.ndarray]:
-        words = [(t or b"").split() for t in texts]
-        new = list({w for own in words for w in own if w not in cache})
-        if len(cache) + len(new) > CACHE_WORDS:
-            cache.clear()
-            new = list({w for own in words for w in own})
-        for i in range(0, len(new), 5000):
-            part = new[i : i + 5000]
-            for w, e in zip(part, tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                cache[w] = np.array(e.ids, "<u4").tobytes()
-        return [np.frombuffer(b"".join(map(cache.__getitem__, own)), "<u4") for own in words]
+        super().__init__()
+        self.tokenizer, self.old = Tokenizer.from_file(path), {}
 
-    return encode
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            if LETTERS.fullmatch(word):
+                ids = array("I", [t.id for t in self.tokenizer.model.tokenize(word.decode("latin-1").translate(_SHOWN))]).tobytes()
+            elif m := MARKS.fullmatch(word):
+                ids = self[m[1]] + self[m[2]]
+            else:
+                ids = array("I", self.tokenizer.encode(word.decode(), add_special_tokens=False).ids).tobytes()
+        self[word] = ids
+        return ids
+
+    def of(self, text: bytes | None) -> np.ndarray:
+        ids = np.frombuffer(b"".join(map(self.__getitem__, (text or b"").lower().split())), "<u4")
+        if len(self) > CACHE_WORDS:
+            self.old = dict(self)
+            self.clear()
+        return ids
+
+
+_TOKENIZERS: dict[str, WordIds] = {}
+
+
+def word_tokenizer(path: str) -> WordIds:
+    """One for each worker process, kept for its later tasks."""
+    if path not in _TOKENIZERS:
+        _TOKENIZERS[path] = WordIds(path)
+    return _TOKENIZERS[path]
 
 
 class Packer:
@@ -101,7 +132,7 @@ def pack(docs: DataFrame, tokenizer_path: str, *, capacity: int = 2048, end_id:
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = word_tokenizer(tokenizer_path), np.array([end_id], "<u4")
+        encode, end = word_tokenizer(tokenizer_path).of, np.array([end_id], "<u4")
         packer = Packer(capacity, TaskContext.get().partitionId() << 40)
 
         def rows(x: list[tuple]) -> pa.RecordBatch:
@@ -110,8 +141,8 @@ def pack(docs: DataFrame, tokenizer_path: str, *, capacity: int = 2048, end_id:
 
         for batch in batches:
             out = []
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist()), strict=True):
-                out += packer.add(doc_id, np.concatenate([ids, end]))
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                out += packer.add(doc_id, np.concatenate([encode(text), end]))
             yield rows(out)
         yield rows(packer.end())
 

@@ -41,13 +41,15 @@ def match_rules(host: Column, path: Column, rules: Sequence[tuple[str, str, str]
 
 
 def _strength(level: DataFrame, name: str) -> DataFrame:
-    """One row: the level's prior strength, as a count of outcomes between 1 and 1000."""
+    """One row: the level's prior strength, as a count of outcomes between 1 and 1000 (10 if there is nothing to tell it
+    by), and the overall bad rate under a weak prior of one in ten."""
     n, b = F.col("n"), F.col("b")
     sums = level.where("n > 0").agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum("b").alias("b"), F.sum(b * b / n).alias("bb"))
     m = b / n
     rho = ((F.col("bb") - n * m * m) / F.col("k") - m * (1 - m)) / (m * (1 - m) * (n / F.col("k") - 1))
     rho = F.when((n > F.col("k")) & (b > 0) & (b < n), rho)
-    return sums.select(F.when(rho > 0, F.greatest(F.lit(1.0), F.least(F.lit(1000.0), 1 / rho - 1))).otherwise(1000.0).alias(name), F.coalesce(m, F.lit(0.0)).alias("overall"))
+    strength = F.when(rho > 0, F.greatest(F.lit(1.0), F.least(F.lit(1000.0), 1 / rho - 1))).when(rho <= 0, 1000.0).otherwise(10.0)
+    return sums.select(strength.alias(name), ((F.coalesce(b, F.lit(0)) + 1) / (F.coalesce(n, F.lit(0)) + 10)).alias("overall"))
 
 
 def host_reputation(hosts: DataFrame, *, z: float, cut: float) -> DataFrame:
