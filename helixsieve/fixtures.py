@@ -39,7 +39,7 @@ FROM (SELECT ord, k, '@FCD1PB1ACXX:4:' || CAST(1101 + ord % 8 AS STRING) || ':'
 """
 
 #: Barcodes of 10 bases, numbered, from the keys of ``part``.
-BARCODES = "SELECT substr(translate(md5(CAST(p_partkey AS STRING) || '|barcode'), '0123456789abcdef', 'ACGTACGTACGTACGT'), 1, 10) AS barcode, CAST(p_partkey AS INT) AS barcode_id FROM part WHERE p_partkey <= 64"
+BARCODES = "SELECT substr(translate(md5(CAST(p_partkey AS STRING) || '|barcode'), '0123456789abcdef', 'ACGTACGTACGTACGT'), 1, 10) AS barcode, CAST(p_partkey AS INT) AS barcode_id FROM part WHERE p_partkey BETWEEN 1 AND 64"
 #: Barcoded pairs: read 2 has 142 bases, the segments at 101, 117 and 133; some have one wrong base, some are none.
 BARCODED = f"""
 SELECT r.ord, r.id1, r.seq1, r.qual1, r.id2,
