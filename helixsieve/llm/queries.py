@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from helixsieve.llm import exact_dedup, langid, mixing, near_dedup, packing, sharding, substring_dedup, topk, url_reputation, warc
 from helixsieve.llm.common import Scratch, table
+from helixsieve.llm.oracles import ORACLES
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -71,4 +72,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
