@@ -226,6 +226,11 @@ def dedup(spark, sf_dir):
     return cascade.with_duplicates(reads(spark, sf_dir), QCParams()).select("ord", "dup")
 
 
+@query(f"SELECT ord, dup FROM ({DUP}) x")
+def dedup_hot(spark, sf_dir):
+    return cascade.with_duplicates(reads(spark, sf_dir), QCParams(hot_copies=True)).select("ord", "dup")
+
+
 @query(f"SELECT ord, seq1, seq2 FROM ({DUP}) x WHERE dup")
 def duplicate_sink(spark, sf_dir):
     return selection.duplicates(reads(spark, sf_dir), "seq1", "seq2").select("ord", "seq1", "seq2")

@@ -102,6 +102,8 @@ def test_selection(spark):
     ranked = selection.with_rank(df).collect()
     assert sorted((r["ord"], r["rank"]) for r in ranked) == [(3 * i, i) for i in range(1000)]
     assert [r["ord"] for r in selection.head(df, 4).collect()] == [0, 3, 6, 9]
+    selection.TOP = 3
+    assert sorted(r["ord"] for r in selection.head(df, 4).collect()) == [0, 3, 6, 9]
     assert sorted(r["ord"] for r in selection.sample(df, 300).collect()) == [9 * i for i in range(300)]
     assert selection.sample(df, 0.25).count() == 250 and selection.sample(df, 950).count() == 1000 and selection.sample(df, 5000).count() == 1000
     assert sorted(r["count"] for r in selection.split(df, 300).groupBy("split").count().collect()) == [100, 300, 300, 300]
