@@ -14,6 +14,7 @@ from helixsieve.llm.common import Scratch
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root): for each node of edges (a, b) the smallest node reachable; roots themselves are left out."""
+    scratch = Scratch(scratch.spark, "components")
     now = scratch.save(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "edges0")
     seen, step = None, 0
     while True:

@@ -7,7 +7,8 @@ neighbours. A region of a tree, the classes below one prefix, is taken as it is
 and otherwise split by the next value: the depth adapts to how dense a region is. At full depth a region that is still
 larger is covered by overlapping blocks. Within a region signatures are compared: those surely alike are joined by a
 spanning forest, and all pairs near the threshold between parts of it become candidates. Every candidate is confirmed
-on the full sets. Links make components.
+on the full sets, first those surely alike in the first trees, then those between the components that these make.
+Links make components.
 
 No partner is dropped for being one of many: what a dense region's split keeps apart in one tree, meets in the others.
 The trees are range-partitioned by the whole sequence and the class, so a hot group spreads over many tasks.
@@ -100,8 +101,8 @@ def _leaves(lcp: np.ndarray, region: int, depth: int) -> Iterator[tuple[int, int
                 todo.append((int(edges[i]), int(edges[i + 1]), level + 1))
 
 
-def _region_pairs(sig: np.ndarray, size: np.ndarray, low: float, sure: float, part: float) -> list[tuple[int, int]]:
-    """Candidates among a region's rows."""
+def _region_pairs(sig: np.ndarray, size: np.ndarray, low: float, sure: float, part: float) -> list[tuple[int, int, bool]]:
+    """Candidates among a region's rows, and whether they are surely alike."""
     order = np.argsort(size, kind="stable")
     sig, size = sig[order], size[order]
     alike = (sig[:, None, :] == sig[None, :, :]).sum(2, dtype=np.int16) / SIGNATURE
@@ -121,11 +122,11 @@ def _region_pairs(sig: np.ndarray, size: np.ndarray, low: float, sure: float, pa
                 out.append((u, v))
                 todo.append(v)
     near = np.argwhere(np.triu((alike >= low) & (label[:, None] != label[None, :])))
-    return [(int(order[a]), int(order[b])) for a, b in [*out, *near.tolist()]]
+    return [(int(order[a]), int(order[b]), i < len(out)) for i, (a, b) in enumerate([*out, *near.tolist()])]
 
 
 def candidates(classes: DataFrame, *, trees: int, depth: int, region: int, threshold: float) -> DataFrame:
-    """Pairs (a, b), a < b, of classes (id, n, sig, paths)."""
+    """Pairs (a, b), a < b, of classes (id, n, sig, paths), with the first tree they met in and whether surely alike."""
     margin = 4 * (threshold * (1 - threshold) / SIGNATURE) ** 0.5
     tree = F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))
     rows = classes.select("id", "n", "sig", "paths", tree.alias("tree"))
@@ -140,13 +141,15 @@ def candidates(classes: DataFrame, *, trees: int, depth: int, region: int, thres
         path = key[:, 2:].copy().view(">u4")
         same = np.logical_and.accumulate(path[1:] == path[:-1], axis=1).sum(1)
         same[(key[1:, :2] != key[:-1, :2]).any(1)] = -1
-        found: list[tuple[int, int]] = []
+        found: list[tuple[int, int, bool]] = []
         for a, b in _leaves(same, region, depth):
-            found += [(a + i, a + j) for i, j in _region_pairs(sig[a:b], size[a:b], threshold - margin, min(0.99, threshold + margin), threshold)]
+            found += [(a + i, a + j, k) for i, j, k in _region_pairs(sig[a:b], size[a:b], threshold - margin, min(0.99, threshold + margin), threshold)]
         if not found:
             return None
-        left, right = (pa.array(x, pa.int64()) for x in zip(*found, strict=True))
-        return pa.RecordBatch.from_arrays([batch.column("id").take(left), batch.column("id").take(right)], ["a", "b"])
+        left, right, alike = zip(*found, strict=True)
+        tree = key[list(left), 0].astype(np.int32) * 256 + key[list(left), 1]
+        left, right = pa.array(left, pa.int64()), pa.array(right, pa.int64())
+        return pa.RecordBatch.from_arrays([batch.column("id").take(left), batch.column("id").take(right), pa.array(tree, pa.int32()), pa.array(alike, pa.bool_())], ["a", "b", "tree", "alike"])
 
     def run(batches: Iterator[pa.RecordBatch], most: int = 50_000) -> Iterator[pa.RecordBatch]:
         kept: list[pa.RecordBatch] = []
@@ -162,8 +165,8 @@ def candidates(classes: DataFrame, *, trees: int, depth: int, region: int, thres
             kept.append(batch)
         yield from done()
 
-    out = rows.mapInArrow(run, f"a {ID}, b {ID}")
-    return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct()
+    out = rows.mapInArrow(run, f"a {ID}, b {ID}, tree int, alike boolean").where("a != b")
+    return out.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("tree").alias("tree"), F.max("alike").alias("alike"))
 
 
 def _linked(sets_a: Column, sets_b: Column, percent: int) -> Column:
@@ -171,7 +174,7 @@ def _linked(sets_a: Column, sets_b: Column, percent: int) -> Column:
     return 100 * both >= percent * (F.size(sets_a) + F.size(sets_b) - both)
 
 
-def near_dedup(docs: DataFrame, *, words: int = 5, percent: int = 80, trees: int = 16, depth: int = 8, region: int = 96, seed: int = 5, scratch: Scratch | None = None) -> DataFrame:
+def near_dedup(docs: DataFrame, *, words: int = 5, percent: int = 80, trees: int = 16, depth: int = 8, region: int = 96, first_trees: int = 4, seed: int = 5, scratch: Scratch | None = None) -> DataFrame:
     """uid, doc_id, n_shingles, component_id and first (whether the row stands for its component) of every document."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -179,7 +182,7 @@ def near_dedup(docs: DataFrame, *, words: int = 5, percent: int = 80, trees: int
     docs = with_uid(docs).select(F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"), "uid.f", "uid.r").alias("id"), "text")
     rows = scratch.save(_sets(docs, words, trees, depth, seed), "rows")
     classes = scratch.save(rows.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("id").alias("class")), "classes")
-    firsts = rows.join(classes.select(F.col("class").alias("id")), "id", "left_semi").select("id", "n", "sig", "paths")
+    firsts = rows.join(classes.select(F.col("class").alias("id")).hint("merge"), "id", "left_semi").select("id", "n", "sig", "paths")
     firsts = scratch.save(firsts, "firsts")
     pairs = scratch.save(candidates(firsts, trees=trees, depth=depth, region=region, threshold=percent / 100), "pairs")
     scratch.drop("firsts")
@@ -192,12 +195,24 @@ def near_dedup(docs: DataFrame, *, words: int = 5, percent: int = 80, trees: int
             own = [shingles(t, words).view(np.int64) for t in batch.column("data").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(own, pa.list_(pa.int64()))], ["id", "own"])
 
-    texts = docs.join(asked, "id", "left_semi").select("id", F.col("text").cast("binary").alias("data"))
+    # Merge hints: joins that meet texts or sets are done the same way at every size.
+    texts = docs.join(asked.hint("merge"), "id", "left_semi").select("id", F.col("text").cast("binary").alias("data"))
     full = scratch.save(texts.mapInArrow(sets, f"id {ID}, own array<long>"), "full")
-    met = pairs.join(full.select(F.col("id").alias("a"), F.col("own").alias("own_a")), "a").join(full.select(F.col("id").alias("b"), F.col("own").alias("own_b")), "b")
-    links = scratch.save(met.where(_linked(F.col("own_a"), F.col("own_b"), percent)).select("a", "b"), "links")
-    scratch.drop("full", "asked", "pairs")
-    roots = components(links, scratch)
+
+    def links(of: DataFrame, name: str) -> DataFrame:
+        met = of.select("a", "b").hint("merge").join(full.select(F.col("id").alias("a"), F.col("own").alias("own_a")), "a")
+        met = met.hint("merge").join(full.select(F.col("id").alias("b"), F.col("own").alias("own_b")), "b")
+        return scratch.save(met.where(_linked(F.col("own_a"), F.col("own_b"), percent)).select("a", "b"), name)
+
+    # What is surely alike in the first trees is linked first: pairs within a component tell nothing more.
+    early = F.col("alike") & (F.col("tree") < first_trees)
+    linked = components(links(pairs.where(early), "links1"), scratch)
+    root = lambda c: linked.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    open_ = pairs.where(~early).join(root("a"), "a", "left").join(root("b"), "b", "left")
+    open_ = open_.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
+    more = links(scratch.save(open_.select("a", "b"), "open"), "links2")
+    roots = components(more.unionByName(linked.select(F.col("node").alias("a"), F.col("root").alias("b"))), scratch)
+    scratch.drop("full", "asked", "pairs", "open", "links1", "links2")
 
     named = classes.join(roots.select(F.col("node").alias("class"), "root"), "class", "left")
     named = scratch.save(named.select("n", "h1", "h2", F.coalesce("root", "class").alias("root")), "named")
