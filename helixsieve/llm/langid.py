@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from helixsieve.llm.common import small_batches
 
-DIMS = 1 << 13
+DIMS = 1 << 12
 #: Families of common languages, by ISO 639-1 code.
 FAMILIES = {
     "germanic": "en de nl sv da no is af lb fy yi".split(),
@@ -49,7 +49,7 @@ def trigram_counts(text: str) -> np.ndarray:
     """Counts of hashed byte trigrams of a text with a space at either end; white space counts as a space."""
     x = np.frombuffer(b" " + text.lower().encode().translate(bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")) + b" ", np.uint8).astype(np.uint32)
     h = (x[:-2] << np.uint32(16) | x[1:-1] << np.uint32(8) | x[2:]) * np.uint32(2654435761)
-    return np.bincount(h >> np.uint32(19), minlength=DIMS)
+    return np.bincount(h >> np.uint32(20), minlength=DIMS)
 
 
 def unit(counts: np.ndarray) -> np.ndarray:
@@ -112,7 +112,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, *, per_language: int = 800) -> Model:
+def fit(docs: DataFrame, *, per_language: int = 500) -> Model:
     """Learn from rows that are not held out and have text and lang. The sample is per_language of each on average."""
     small_batches(docs.sparkSession)
     rows = docs.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
