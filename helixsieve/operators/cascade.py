@@ -6,6 +6,8 @@ fails it, and the code says which: 1, 2, or 3 for both.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -120,14 +122,28 @@ def with_reason(df: DataFrame, p: QCParams) -> DataFrame:
     return df.withColumn("_fails", fails).withColumn("reason", F.col("_fails.reason")).withColumn("code", F.coalesce("_fails.code", F.lit(0))).drop("_fails")
 
 
+def with_adapters(df: DataFrame, p: QCParams) -> DataFrame:
+    """The last test: adapters of reads that have passed all others. Failed reads are not searched (place -1)."""
+    for m in p.mates():
+        if p.adapters1 if m == 1 else p.adapters2:
+            place = M.adapter_position_of(F.when(F.col("reason").isNull(), F.col(f"seq{m}")), p, m)
+            df = df.withColumn(f"ada{m}", place)
+    one, two = ((F.col(f"ada{m}") >= 0) if f"ada{m}" in df.columns else F.lit(False) for m in (1, 2))
+    found = F.col("reason").isNull() & (one | two)
+    return df.withColumns({"reason": F.when(found, "adapter").otherwise(F.col("reason")), "code": F.when(found, one.cast("int") + 2 * two.cast("int")).otherwise(F.col("code"))})
+
+
 def judge(df: DataFrame, p: QCParams) -> DataFrame:
     """Matches, duplicates, trims and reason of raw reads: the whole of a run but for its outputs.
 
-    Copies are flagged first, on rows without the wide columns that follow.
+    Where adapters only discard, their test is the last, so reads that fail before are spared the search.
     """
     if p.rmdup and "dup" not in df.columns:
         df = with_duplicates(df, p)
-    return with_reason(with_trim(with_matches(df, p), p), p)
+    late = p.adapter_mode == "discard" and p.module != "filtersRNA" and bool(p.adapters1 or p.adapters2)
+    rest = replace(p, adapters1=(), adapters2=()) if late else p
+    df = with_reason(with_trim(with_matches(df, rest), rest), rest)
+    return with_adapters(df, p) if late else df
 
 
 def clean(judged: DataFrame) -> DataFrame:

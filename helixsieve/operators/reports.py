@@ -117,11 +117,14 @@ def trim_positions(judged: DataFrame, p: QCParams) -> DataFrame:
 
 
 def filter_report(judged: DataFrame) -> DataFrame:
-    """Reads (or pairs) discarded under each reason, total and by mate; first of all under ``total``."""
+    """Reads (or pairs) discarded under each reason, total and by mate, and all of them under ``total``.
+
+    One pass: the total is the rollup's. Without a discarded read there is no row.
+    """
     mate = lambda *codes: F.count(F.when(F.col("code").isin(*codes), 1))
-    lost = judged.where("reason is not null")
-    counts = lambda of: of.agg(F.count("*").alias("total"), mate(1, 3).alias("mate1"), mate(2, 3).alias("mate2"), mate(3).alias("both"))
-    return counts(lost.groupBy("reason")).unionByName(counts(lost.groupBy()).select(F.lit("total").alias("reason"), "*"))
+    lost = judged.where("reason is not null").rollup("reason")
+    out = lost.agg(F.count("*").alias("total"), mate(1, 3).alias("mate1"), mate(2, 3).alias("mate2"), mate(3).alias("both"))
+    return out.withColumn("reason", F.coalesce("reason", F.lit("total")))
 
 
 def phred_check(reads: DataFrame, p: QCParams, first: int = 20_000) -> int:

@@ -69,6 +69,15 @@ def test_first_failure_and_mates(spark):
     assert got == [(None, 0), ("short", 1), ("low_quality", 3), (None, 0)]
 
 
+def test_adapters_last_or_trimmed(spark):
+    a = "AGATCGGAAGAGCACACGTC"
+    df = single(spark, ("ACGTACCT" * 5 + a, None), ("N" * 40 + a, None), ("ACGTACCT" * 5, None), ("ACGTAC" + a, None))
+    got = [(r["reason"], r["ada1"]) for r in cascade.judge(df, QCParams(paired=False, adapters1=(a,), min_length=20)).orderBy("ord").collect()]
+    assert got == [("adapter", 40), ("n_ratio", -1), (None, -1), ("adapter", 6)]
+    got = [(r["reason"], r["tseq1"]) for r in cascade.judge(df, QCParams(paired=False, adapters1=(a,), adapter_mode="trim", min_length=20)).orderBy("ord").collect()]
+    assert got == [(None, "ACGTACCT" * 5), ("n_ratio", "N" * 40), (None, "ACGTACCT" * 5), ("short", "ACGTAC")]
+
+
 def random_reads(spark, n=200):
     rng = random.Random(4)
     rows = []
