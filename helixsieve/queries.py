@@ -347,7 +347,24 @@ def adapter_full_match(spark, sf_dir):
     return reads(spark, sf_dir).select("ord", "seq1", M.adapter_position_of(F.col("seq1"), p, 1).alias("pos")).where(F.substr("seq1", F.col("pos") + 1, F.lit(32)) == ADAPTER1).drop("seq1")
 
 
-@query()
+def alignments_sql(size: int, mismatches: int, edge: int) -> str:
+    """The alignments of an adapter of a size with reads of length len, in order: k, spot, skip, n, allowed, res."""
+    g5, g = (size - 5) // (mismatches + 1), (size - edge) // (mismatches + 1)
+    return f"""SELECT len, i AS k, 0 AS spot, i AS skip, {size} - i AS n, ({size} - i) // {g5} AS allowed, 0 AS res FROM lens, range(1, 6) t(i) WHERE {size} - i <= len
+UNION ALL SELECT len, 10 + i, i, 0, {size}, {mismatches}, i FROM lens, range(0, 200) t(i) WHERE i <= len - {size}
+UNION ALL SELECT len, 1000 + i, len - i, 0, i, (i - {edge}) // {g}, len - i FROM lens, range({edge}, {size}) t(i) WHERE i <= len"""
+
+
+def adapter_sql(seq: str, adapter: str, mismatches: int = 2, run: int = 16, edge: int = 6) -> str:
+    """ord and pos of the first hit. A mask of 1 (equal) and 0 hits if at most ``allowed`` zeros come before a run, or in all."""
+    mask = f"array_to_string(list_transform(range(1, n + 1), lambda c: CASE WHEN substr(s, spot + c, 1) = substr('{adapter}', skip + c, 1) THEN '1' ELSE '0' END), '')"
+    hits = " OR ".join(f"(allowed = {a} AND regexp_matches(mask, '^(1*0){{0,{a}}}(1{{{run}}}|1*$)'))" for a in range(6))
+    return f"""WITH q AS (SELECT ord, {seq} AS s, length({seq}) AS len FROM {R}), lens AS (SELECT DISTINCT len FROM q), p AS ({alignments_sql(len(adapter), mismatches, edge)}),
+m AS (SELECT ord, k, res, allowed, {mask} AS mask FROM q JOIN p USING (len)), h AS (SELECT ord, arg_min(res, k) AS pos FROM m WHERE {hits} GROUP BY ord)
+SELECT q.ord, coalesce(pos, -1) AS pos FROM q LEFT JOIN h ON h.ord = q.ord"""
+
+
+@query(f"SELECT a.ord, a.pos AS pos1, b.pos AS pos2 FROM ({adapter_sql('seq1', ADAPTER1)}) a JOIN ({adapter_sql('seq2', ADAPTER2)}) b ON a.ord = b.ord")
 def adapter_pos(spark, sf_dir):
     p = QCParams(adapters1=(ADAPTER1,), adapters2=(ADAPTER2,))
     return reads(spark, sf_dir).select("ord", M.adapter_position_of(F.col("seq1"), p, 1).alias("pos1"), M.adapter_position_of(F.col("seq2"), p, 2).alias("pos2"))
@@ -384,7 +401,19 @@ def filter_srna(spark, sf_dir):
     return filter_reads(small_rna(spark, sf_dir), p).judged.select("ord", "reason", "tseq1")
 
 
-@query()
+def filter_pe_sql() -> str:
+    arms = [("duplicate", "dup", "3")]
+    conditions = [c for c in CONDITIONS if c[0] in ("short", "n_ratio")]
+    conditions += [("low_quality", f"{ratio(count_if('qual{m}', 'q <= 5'), 'length(qual{m})')} >= {real('0.5')}"), ("mean_quality", f"{ratio('list_sum(' + codes('qual{m}') + ')', 'length(qual{m})')} < {real('20')}"), ("adapter", "pos{m} >= 0")]
+    for name, cond in conditions:
+        x, y = (cond.replace("tseq", "seq").replace("{m}", m) for m in "12")
+        arms.append((name, f"({x}) OR ({y})", f"CAST(({x}) AS INT) + 2 * CAST(({y}) AS INT)"))
+    reason, code = ("CASE " + " ".join(f"WHEN {a[1]} THEN {f(a)}" for a in arms) for f in (lambda a: f"'{a[0]}'", lambda a: a[2]))
+    both = f"SELECT d.*, a.pos AS pos1, b.pos AS pos2 FROM ({DUP}) d JOIN ({adapter_sql('seq1', ADAPTER1)}) a ON a.ord = d.ord JOIN ({adapter_sql('seq2', ADAPTER2)}) b ON b.ord = d.ord"
+    return f"SELECT ord, {reason} END AS reason, {code} ELSE 0 END AS code FROM ({both}) x"
+
+
+@query(filter_pe_sql())
 def filter_pe(spark, sf_dir):
     """The whole of a paired run with adapters, copies and the default limits."""
     p = QCParams(adapters1=(ADAPTER1,), adapters2=(ADAPTER2,), rmdup=True, min_mean_quality=20)
