@@ -12,6 +12,9 @@ doc_id sorts first. An empty table gives an empty result; shards may be empty wh
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -46,9 +49,9 @@ def splitters(keyed: DataFrame, shards: int, tolerance: float) -> list[tuple[int
             break
         digits = [_digit(F.col(c), i).alias(f"g{k}") for k, (c, i) in enumerate(levels[: depth + 1])]
         rows = keyed.select("size", *digits)
-        if depth:
-            inside = keyed.sparkSession.createDataFrame([tuple(p) for p in open_], ", ".join(f"g{k} int" for k in range(depth)))
-            rows = rows.join(F.broadcast(inside), [f"g{k}" for k in range(depth)])  # at most shards - 1 intervals
+        if depth:  # at most shards - 1 intervals
+            inside = [reduce(and_, (F.col(f"g{k}") == g for k, g in enumerate(prefix))) for prefix in open_]
+            rows = rows.where(reduce(or_, inside))
         counted: dict[tuple[int, ...], list[tuple[int, int, int]]] = {}
         for r in rows.groupBy(*[f"g{k}" for k in range(depth + 1)]).agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect():
             counted.setdefault(tuple(r[:depth]), []).append((r[depth], r["bytes"], r["n"]))
