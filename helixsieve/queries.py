@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -370,9 +371,32 @@ def adapter_pos(spark, sf_dir):
     return reads(spark, sf_dir).select("ord", M.adapter_position_of(F.col("seq1"), p, 1).alias("pos1"), M.adapter_position_of(F.col("seq2"), p, 2).alias("pos2"))
 
 
-@query()
+def contam_sql(seq: str, contam: str, ratio_: float, mismatches: int = 2, edge: int = 6) -> str:
+    """ord and pos of the first hit of a contaminant. N of the read is left out of a mask; partial runs get longer."""
+    size = len(contam)
+    run, g = math.ceil(size * ratio_), (size - edge) // (mismatches + 1)
+    rise = int((size - edge) / (run - 6)) if run != 6 else 0
+    need = f"7 + (i - {edge}) // {rise}" if rise else "7"
+    plan = f"""SELECT len, i AS k, 0 AS spot, {size} - i AS skip, i AS n, (i - {edge}) // {g} AS allowed, {need} AS run, 0 AS res FROM lens, range({edge}, {size}) t(i) WHERE i <= len
+UNION ALL SELECT len, 100 + i, i, 0, {size}, {mismatches}, {run}, i FROM lens, range(0, 200) t(i) WHERE i <= len - {size}
+UNION ALL SELECT len, 1000 + i, len - i, 0, i, (i - {edge}) // {g}, {need}, len - i FROM lens, range({edge}, {size}) t(i) WHERE i <= len"""
+    mask = f"array_to_string(list_transform(range(1, n + 1), lambda c: CASE WHEN substr(s, spot + c, 1) = substr('{contam}', skip + c, 1) THEN '1' WHEN substr(s, spot + c, 1) = 'N' THEN '' ELSE '0' END), '')"
+    kinds = {(mismatches, run)} | {((i - edge) // g, 7 + (i - edge) // rise if rise else 7) for i in range(edge, size)}
+    hits = " OR ".join(f"(allowed = {a} AND run = {r} AND regexp_matches(mask, '^(1*0){{0,{a}}}(1{{{r}}}|1*$)'))" for a, r in sorted(kinds))
+    return f"""WITH q AS (SELECT ord, {seq} AS s, length({seq}) AS len FROM {R}), lens AS (SELECT DISTINCT len FROM q), p AS ({plan}),
+m AS (SELECT ord, k, res, allowed, run, {mask} AS mask FROM q JOIN p USING (len)), h AS (SELECT ord, arg_min(res, k) AS pos FROM m WHERE {hits} GROUP BY ord)
+SELECT q.ord, coalesce(pos, -1) AS pos FROM q LEFT JOIN h ON h.ord = q.ord"""
+
+
+#: Contaminants of the scan and their ratios.
+CONTAMS = ((ADAPTER1, 0.4), ("GGGGGGGGGGGGGGGGGGGG", 0.6))
+
+
+@query(f"""SELECT a.ord, CASE WHEN a.pos BETWEEN 0 AND 29 OR b.pos < 0 THEN a.pos WHEN a.pos < 0 THEN b.pos ELSE least(a.pos, b.pos) END AS pos1
+FROM ({contam_sql('seq1', *CONTAMS[0])}) a JOIN ({contam_sql('seq1', *CONTAMS[1])}) b ON a.ord = b.ord""")
 def contam_scan(spark, sf_dir):
-    p = QCParams(contams1=(ADAPTER1, "GGGGGGGGGGGGGGGGGGGG"), contam_ratios=(0.4, 0.6), contams2=(ADAPTER2,))
+    """The smallest place of two contaminants; the second isn't sought where the first lies below the least length."""
+    p = QCParams(contams1=tuple(c for c, _ in CONTAMS), contam_ratios=tuple(r for _, r in CONTAMS))
     return reads(spark, sf_dir).select("ord", M.contaminant_position_of(F.col("seq1"), p, 1).alias("pos1"))
 
 
