@@ -7,8 +7,7 @@ neighbours. A region of a tree, the classes below one prefix, is taken as it is
 and otherwise split by the next value: the depth adapts to how dense a region is. At full depth a region that is still
 larger is covered by overlapping blocks. Within a region signatures are compared: those surely alike are joined by a
 spanning forest, and all pairs near the threshold between parts of it become candidates. Every candidate is confirmed
-on the full sets, first those surely alike in the first trees, then those between the components that these make.
-Links make components.
+on the full sets. Links make components. The first trees go first; for the others, what these have linked is one.
 
 No partner is dropped for being one of many: what a dense region's split keeps apart in one tree, meets in the others.
 The trees are range-partitioned by the whole sequence and the class, so a hot group spreads over many tasks.
@@ -27,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixsieve.llm.common import Scratch, small_batches, with_uid
+from helixsieve.llm.common import Scratch, release, small_batches, with_uid
 from helixsieve.llm.components import components
 from helixsieve.llm.words import U, grams, mix, word_hashes
 
@@ -101,37 +100,40 @@ def _leaves(lcp: np.ndarray, region: int, depth: int) -> Iterator[tuple[int, int
                 todo.append((int(edges[i]), int(edges[i + 1]), level + 1))
 
 
-def _region_pairs(sig: np.ndarray, size: np.ndarray, low: float, sure: float, part: float) -> list[tuple[int, int, bool]]:
-    """Candidates among a region's rows, and whether they are surely alike."""
+def _region_pairs(sig: np.ndarray, size: np.ndarray, known: np.ndarray, low: float, sure: float, part: float) -> list[tuple[int, int]]:
+    """Candidates among a region's rows, of which those of equal ``known`` are linked already."""
     order = np.argsort(size, kind="stable")
-    sig, size = sig[order], size[order]
+    sig, size, known = sig[order], size[order], known[order]
     alike = (sig[:, None, :] == sig[None, :, :]).sum(2, dtype=np.int16) / SIGNATURE
     alike[size[:, None] < part * size[None, :]] = 0
     alike = np.minimum(alike, alike.T)
-    np.fill_diagonal(alike, 0)
+    alike[known[:, None] == known[None, :]] = 0
     out, label = [], np.full(len(sig), -1)
     strong = alike >= sure
     for root in range(len(sig)):
         if label[root] >= 0:
             continue
-        label[root], todo = root, [root]
+        todo = np.flatnonzero(known == known[root]).tolist()
+        label[todo] = root
         while todo:
             u = todo.pop()
             for v in np.flatnonzero(strong[u] & (label < 0)).tolist():
-                label[v] = root
-                out.append((u, v))
-                todo.append(v)
+                if label[v] < 0:
+                    more = np.flatnonzero(known == known[v])
+                    label[more] = root
+                    out.append((u, v))
+                    todo += more.tolist()
     near = np.argwhere(np.triu((alike >= low) & (label[:, None] != label[None, :])))
-    return [(int(order[a]), int(order[b]), i < len(out)) for i, (a, b) in enumerate([*out, *near.tolist()])]
+    return [(int(order[a]), int(order[b])) for a, b in [*out, *near.tolist()]]
 
 
-def candidates(classes: DataFrame, *, trees: int, depth: int, region: int, threshold: float) -> DataFrame:
-    """Pairs (a, b), a < b, of classes (id, n, sig, paths), with the first tree they met in and whether surely alike."""
+def candidates(classes: DataFrame, *, which: range, depth: int, region: int, threshold: float) -> DataFrame:
+    """Pairs (a, b), a < b, of classes (id, n, sig, paths, known) that meet in some trees and have other ``known``."""
     margin = 4 * (threshold * (1 - threshold) / SIGNATURE) ** 0.5
-    tree = F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))
-    rows = classes.select("id", "n", "sig", "paths", tree.alias("tree"))
+    tree = F.explode(F.sequence(F.lit(which.start), F.lit(which.stop - 1)))
+    rows = classes.select("id", "n", "sig", "paths", "known", tree.alias("tree"))
     key = F.concat(F.unhex(F.lpad(F.hex("tree"), 4, "0")), F.substr("paths", F.col("tree") * (4 * depth) + 1, F.lit(4 * depth)))
-    rows = rows.select(key.alias("key"), "id", "n", "sig").repartitionByRange("key", "id").sortWithinPartitions("key", "id")
+    rows = rows.select(key.alias("key"), "id", "n", "sig", "known").repartitionByRange("key", "id").sortWithinPartitions("key", "id")
 
     def pairs(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         n, width = batch.num_rows, 2 + 4 * depth
@@ -141,15 +143,13 @@ def candidates(classes: DataFrame, *, trees: int, depth: int, region: int, thres
         path = key[:, 2:].copy().view(">u4")
         same = np.logical_and.accumulate(path[1:] == path[:-1], axis=1).sum(1)
         same[(key[1:, :2] != key[:-1, :2]).any(1)] = -1
-        found: list[tuple[int, int, bool]] = []
+        known, found = batch.column("known").to_numpy(), []
         for a, b in _leaves(same, region, depth):
-            found += [(a + i, a + j, k) for i, j, k in _region_pairs(sig[a:b], size[a:b], threshold - margin, min(0.99, threshold + margin), threshold)]
+            found += [(a + i, a + j) for i, j in _region_pairs(sig[a:b], size[a:b], known[a:b], threshold - margin, min(0.99, threshold + margin), threshold)]
         if not found:
             return None
-        left, right, alike = zip(*found, strict=True)
-        tree = key[list(left), 0].astype(np.int32) * 256 + key[list(left), 1]
-        left, right = pa.array(left, pa.int64()), pa.array(right, pa.int64())
-        return pa.RecordBatch.from_arrays([batch.column("id").take(left), batch.column("id").take(right), pa.array(tree, pa.int32()), pa.array(alike, pa.bool_())], ["a", "b", "tree", "alike"])
+        left, right = (pa.array(x, pa.int64()) for x in zip(*found, strict=True))
+        return pa.RecordBatch.from_arrays([batch.column("id").take(left), batch.column("id").take(right)], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch], most: int = 50_000) -> Iterator[pa.RecordBatch]:
         kept: list[pa.RecordBatch] = []
@@ -165,8 +165,8 @@ def candidates(classes: DataFrame, *, trees: int, depth: int, region: int, thres
             kept.append(batch)
         yield from done()
 
-    out = rows.mapInArrow(run, f"a {ID}, b {ID}, tree int, alike boolean").where("a != b")
-    return out.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("tree").alias("tree"), F.max("alike").alias("alike"))
+    out = rows.mapInArrow(run, f"a {ID}, b {ID}")
+    return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct()
 
 
 def _linked(sets_a: Column, sets_b: Column, percent: int) -> Column:
@@ -184,35 +184,39 @@ def near_dedup(docs: DataFrame, *, words: int = 5, percent: int = 80, trees: int
     classes = scratch.save(rows.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("id").alias("class")), "classes")
     firsts = rows.join(classes.select(F.col("class").alias("id")).hint("merge"), "id", "left_semi").select("id", "n", "sig", "paths")
     firsts = scratch.save(firsts, "firsts")
-    pairs = scratch.save(candidates(firsts, trees=trees, depth=depth, region=region, threshold=percent / 100), "pairs")
-    scratch.drop("firsts")
-
-    asked = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    asked = scratch.save(asked, "asked")
+    how = {"depth": depth, "region": region, "threshold": percent / 100}
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = [shingles(t, words).view(np.int64) for t in batch.column("data").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(own, pa.list_(pa.int64()))], ["id", "own"])
 
-    # Merge hints: joins that meet texts or sets are done the same way at every size.
-    texts = docs.join(asked.hint("merge"), "id", "left_semi").select("id", F.col("text").cast("binary").alias("data"))
-    full = scratch.save(texts.mapInArrow(sets, f"id {ID}, own array<long>"), "full")
-
-    def links(of: DataFrame, name: str) -> DataFrame:
-        met = of.select("a", "b").hint("merge").join(full.select(F.col("id").alias("a"), F.col("own").alias("own_a")), "a")
+    def links(pairs: DataFrame, name: str) -> DataFrame:
+        """Pairs that the full sets confirm. Merge hints: joins that meet texts or sets are done alike at every size."""
+        asked = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+        asked = scratch.save(asked, f"asked{name}")
+        texts = docs.join(asked.hint("merge"), "id", "left_semi").select("id", F.col("text").cast("binary").alias("data"))
+        full = scratch.save(texts.mapInArrow(sets, f"id {ID}, own array<long>"), f"full{name}")
+        release(spark)
+        met = pairs.hint("merge").join(full.select(F.col("id").alias("a"), F.col("own").alias("own_a")), "a")
         met = met.hint("merge").join(full.select(F.col("id").alias("b"), F.col("own").alias("own_b")), "b")
-        return scratch.save(met.where(_linked(F.col("own_a"), F.col("own_b"), percent)).select("a", "b"), name)
-
-    # What is surely alike in the first trees is linked first: pairs within a component tell nothing more.
-    early = F.col("alike") & (F.col("tree") < first_trees)
-    linked = components(links(pairs.where(early), "links1"), scratch)
-    root = lambda c: linked.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
-    open_ = pairs.where(~early).join(root("a"), "a", "left").join(root("b"), "b", "left")
-    open_ = open_.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
-    more = links(scratch.save(open_.select("a", "b"), "open"), "links2")
-    roots = components(more.unionByName(linked.select(F.col("node").alias("a"), F.col("root").alias("b"))), scratch)
-    scratch.drop("full", "asked", "pairs", "open", "links1", "links2")
+        out = scratch.save(met.where(_linked(F.col("own_a"), F.col("own_b"), percent)).select("a", "b"), f"links{name}")
+        scratch.drop(f"asked{name}", f"full{name}")
+        release(spark)
+        return out
+
+    # The first trees link most of what is alike; in the others, classes that are linked already are no candidates.
+    first = range(min(first_trees, trees))
+    early = scratch.save(candidates(firsts.withColumn("known", F.xxhash64("id")), which=first, **how), "early")
+    linked = components(links(early, "1"), scratch)
+    if trees > len(first):
+        known = firsts.join(linked.select(F.col("node").alias("id"), "root"), "id", "left")
+        known = known.withColumn("known", F.xxhash64(F.coalesce("root", "id"))).drop("root")
+        late = candidates(known, which=range(len(first), trees), **how).join(early, ["a", "b"], "left_anti")
+        more = links(scratch.save(late, "late"), "2")
+        linked = components(more.unionByName(linked.select(F.col("node").alias("a"), F.col("root").alias("b"))), scratch)
+    roots = linked
+    scratch.drop("firsts", "early", "late", "links1", "links2")
 
     named = classes.join(roots.select(F.col("node").alias("class"), "root"), "class", "left")
     named = scratch.save(named.select("n", "h1", "h2", F.coalesce("root", "class").alias("root")), "named")
