@@ -444,7 +444,12 @@ def filter_pe(spark, sf_dir):
     return filter_reads(reads(spark, sf_dir), p).judged.select("ord", "reason", "code")
 
 
-@query()
+MATE2 = f"CASE WHEN ord % 5 = 0 THEN {revcomp('substr(seq1, 60)')} || substr(seq2, 1, 59) ELSE seq2 END"
+
+
+@query(f"""WITH q AS (SELECT ord, replace(seq1, 'N', 'x') AS a, {revcomp(MATE2)} AS b FROM {R}),
+l AS (SELECT ord, i FROM q, range(20, 200) t(i) WHERE i <= length(a) AND i <= length(b) AND hamming(right(a, i), left(b, i)) <= floor(CAST(0.1 AS DOUBLE) * i))
+SELECT q.ord, CAST(coalesce(max(i), -1) AS INT) AS overlap FROM q LEFT JOIN l ON l.ord = q.ord GROUP BY q.ord""")
 def pe_overlap(spark, sf_dir):
     """Mates whose ends overlap: read 2 is made from read 1's reverse complement for one pair in five."""
     mate = F.when(F.col("ord") % 5 == 0, F.concat(X.reverse_complement(F.substr("seq1", F.lit(60))), F.substr("seq2", F.lit(1), F.lit(59)))).otherwise(F.col("seq2"))
