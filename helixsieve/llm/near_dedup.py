@@ -170,8 +170,8 @@ def candidates(classes: DataFrame, *, which: range, depth: int, region: int, thr
 
 
 def _linked(sets_a: Column, sets_b: Column, percent: int) -> Column:
-    both = F.size(F.array_intersect(sets_a, sets_b))
-    return 100 * both >= percent * (F.size(sets_a) + F.size(sets_b) - both)
+    both, a, b = (F.size(x).cast("long") for x in (F.array_intersect(sets_a, sets_b), sets_a, sets_b))
+    return 100 * both >= percent * (a + b - both)
 
 
 def near_dedup(docs: DataFrame, *, words: int = 5, percent: int = 80, trees: int = 16, depth: int = 8, region: int = 96, first_trees: int = 4, seed: int = 5, scratch: Scratch | None = None) -> DataFrame:

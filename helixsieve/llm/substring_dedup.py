@@ -45,7 +45,7 @@ def anchors(words: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.n
     while 2 * step <= width:
         low, step = np.minimum(low[:-step], low[step:]), 2 * step
     if step < width:
-        low = np.minimum(low[: n + 0], low[width - step : width - step + n])
+        low = np.minimum(low[:n], low[width - step : width - step + n])
     at = np.arange(n)
     place = at + (((low[:n] & PLACE).astype(np.int64) - at) & int(PLACE))
     first = np.flatnonzero(np.diff(place, prepend=-1))
