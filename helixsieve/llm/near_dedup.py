@@ -7,7 +7,8 @@ neighbours. A region of a tree, the classes below one prefix, is taken as it is
 and otherwise split by the next value: the depth adapts to how dense a region is. At full depth a region that is still
 larger is covered by overlapping blocks. Within a region signatures are compared: those surely alike are joined by a
 spanning forest, and all pairs near the threshold between parts of it become candidates. Every candidate is confirmed
-on the full sets. Links make components. The first trees go first; for the others, what these have linked is one.
+on the full sets. Links make components. A first round over some trees takes only spanning forests of what is likely
+alike; for the second, over all trees, what the first has linked is one.
 
 No partner is dropped for being one of many: what a dense region's split keeps apart in one tree, meets in the others.
 The trees are range-partitioned by the whole sequence and the class, so a hot group spreads over many tasks.
@@ -127,9 +128,13 @@ def _region_pairs(sig: np.ndarray, size: np.ndarray, known: np.ndarray, low: flo
     return [(int(order[a]), int(order[b])) for a, b in [*out, *near.tolist()]]
 
 
-def candidates(classes: DataFrame, *, which: range, depth: int, region: int, threshold: float) -> DataFrame:
-    """Pairs (a, b), a < b, of classes (id, n, sig, paths, known) that meet in some trees and have other ``known``."""
+def candidates(classes: DataFrame, *, which: range, near: bool, depth: int, region: int, threshold: float) -> DataFrame:
+    """Pairs (a, b), a < b, of classes (id, n, sig, paths, known) that meet in some trees and have other ``known``.
+
+    Without near only spanning forests of what is likely above the threshold; with it all that may be above.
+    """
     margin = 4 * (threshold * (1 - threshold) / SIGNATURE) ** 0.5
+    low, sure = (threshold - margin, min(0.99, threshold + margin)) if near else (2.0, threshold + margin / 8)
     tree = F.explode(F.sequence(F.lit(which.start), F.lit(which.stop - 1)))
     rows = classes.select("id", "n", "sig", "paths", "known", tree.alias("tree"))
     key = F.concat(F.unhex(F.lpad(F.hex("tree"), 4, "0")), F.substr("paths", F.col("tree") * (4 * depth) + 1, F.lit(4 * depth)))
@@ -145,7 +150,7 @@ def candidates(classes: DataFrame, *, which: range, depth: int, region: int, thr
         same[(key[1:, :2] != key[:-1, :2]).any(1)] = -1
         known, found = batch.column("known").to_numpy(), []
         for a, b in _leaves(same, region, depth):
-            found += [(a + i, a + j) for i, j in _region_pairs(sig[a:b], size[a:b], known[a:b], threshold - margin, min(0.99, threshold + margin), threshold)]
+            found += [(a + i, a + j) for i, j in _region_pairs(sig[a:b], size[a:b], known[a:b], low, sure, threshold)]
         if not found:
             return None
         left, right = (pa.array(x, pa.int64()) for x in zip(*found, strict=True))
@@ -205,17 +210,15 @@ def near_dedup(docs: DataFrame, *, words: int = 5, percent: int = 80, trees: int
         release(spark)
         return out
 
-    # The first trees link most of what is alike; in the others, classes that are linked already are no candidates.
+    # What is likely alike in the first trees is linked first; what is linked already is no candidate in all trees.
     first = range(min(first_trees, trees))
-    early = scratch.save(candidates(firsts.withColumn("known", F.xxhash64("id")), which=first, **how), "early")
+    early = scratch.save(candidates(firsts.withColumn("known", F.xxhash64("id")), which=first, near=False, **how), "early")
     linked = components(links(early, "1"), scratch)
-    if trees > len(first):
-        known = firsts.join(linked.select(F.col("node").alias("id"), "root"), "id", "left")
-        known = known.withColumn("known", F.xxhash64(F.coalesce("root", "id"))).drop("root")
-        late = candidates(known, which=range(len(first), trees), **how).join(early, ["a", "b"], "left_anti")
-        more = links(scratch.save(late, "late"), "2")
-        linked = components(more.unionByName(linked.select(F.col("node").alias("a"), F.col("root").alias("b"))), scratch)
-    roots = linked
+    known = firsts.join(linked.select(F.col("node").alias("id"), "root"), "id", "left")
+    known = known.withColumn("known", F.xxhash64(F.coalesce("root", "id"))).drop("root")
+    late = candidates(known, which=range(trees), near=True, **how).join(early, ["a", "b"], "left_anti")
+    more = links(scratch.save(late, "late"), "2")
+    roots = components(more.unionByName(linked.select(F.col("node").alias("a"), F.col("root").alias("b"))), scratch)
     scratch.drop("firsts", "early", "late", "links1", "links2")
 
     named = classes.join(roots.select(F.col("node").alias("class"), "root"), "class", "left")
