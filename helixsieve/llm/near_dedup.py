@@ -4,14 +4,17 @@ A document's set is its distinct word shingles, as 64-bit hashes. Documents of e
 hash) are one class from the start, and one of them stands for it. Classes have a signature and ``trees`` sequences of
 ``depth`` MinHash values. Each tree is the classes sorted by its sequence; classes that share the longest prefixes are
 neighbours. A region of a tree, the classes below one prefix, is taken as it is if it has at most ``region`` classes,
-and otherwise split by the next value: the depth adapts to how dense a region is. At full depth a region that is still
-larger is covered by overlapping blocks. Within a region signatures are compared: those surely alike are joined by a
-spanning forest, and all pairs near the threshold between parts of it become candidates. Every candidate is confirmed
-on the full sets. Links make components. A first round over some trees takes only spanning forests of what is likely
-alike; for the second, over all trees, what the first has linked is one.
-
-No partner is dropped for being one of many: what a dense region's split keeps apart in one tree, meets in the others.
-The trees are range-partitioned by the whole sequence and the class, so a hot group spreads over many tasks.
+and otherwise split by the next value: the depth adapts to how dense a region is. Within a region signatures are
+compared: those surely alike are joined by a spanning forest, and all pairs near the threshold between parts of it
+become candidates. Every candidate is confirmed on the full sets. Links make components. A first round over some trees
+takes only spanning forests of what is likely alike, down to full depth, where a region that is still larger is covered
+by overlapping blocks. For the second, over all trees, what the first has linked is one, and a region that is larger
+than ``region`` after ``whole`` values is not split but compared whole, on the full sets, block against block.
+
+No partner is dropped for being one of many: whatever shares ``whole`` values in some tree is compared, however dense
+its region. The trees are range-partitioned by the whole sequence and the class, and the pairs of blocks are dealt by
+hash, so a hot group spreads over many tasks. A dense region's comparisons grow with the square of its classes, their
+rows with the square over the rows of a block.
 
 Without words or text a set is empty and links with nothing. With fewer words than a shingle the whole sequence is one
 shingle. A null doc_id ranks after all others, as null. Repeated rows are of one class. Empty tables give an empty
@@ -34,6 +37,10 @@ from helixsieve.llm.words import U, grams, mix, word_hashes
 SIGNATURE = 128
 NO_ID = (1 << 63) - 1
 ID = "struct<d:long,f:long,r:long>"
+#: Classes and shingles in a block of a dense region, on average at most.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 19
+#: Shingles of so many of a cell's rows are counted by a matrix product, others pair by pair.
+COMMON = 32
 
 
 def shingles(text: bytes | None, words: int) -> np.ndarray:
@@ -80,8 +87,11 @@ def _sets(docs: DataFrame, words: int, trees: int, depth: int, seed: int) -> Dat
     return docs.select("id", F.col("text").cast("binary").alias("data")).mapInArrow(run, f"id {ID}, n long, h1 long, h2 long, sig binary, paths binary")
 
 
-def _leaves(lcp: np.ndarray, region: int, depth: int) -> Iterator[tuple[int, int]]:
-    """Regions of sorted rows, of two rows at least; lcp[i] is what rows i and i + 1 share, -1 between trees."""
+def _leaves(lcp: np.ndarray, region: int, depth: int, whole: int | None = None) -> Iterator[tuple[int, int]]:
+    """Regions of sorted rows, of two rows at least; lcp[i] is what rows i and i + 1 share, -1 between trees.
+
+    With whole, regions that are larger after so many values are left to :func:`dense_links`.
+    """
     todo = [(0, len(lcp) + 1, -1)]
     while todo:
         a, b, level = todo.pop()
@@ -89,6 +99,8 @@ def _leaves(lcp: np.ndarray, region: int, depth: int) -> Iterator[tuple[int, int
             continue
         if level >= 0 and b - a <= region:
             yield a, b
+        elif whole is not None and level >= whole:
+            continue
         elif level >= depth:
             for at in range(a, b, region // 2):
                 yield at, min(b, at + region)
@@ -109,9 +121,15 @@ def _region_pairs(sig: np.ndarray, size: np.ndarray, known: np.ndarray, low: flo
     alike[size[:, None] < part * size[None, :]] = 0
     alike = np.minimum(alike, alike.T)
     alike[known[:, None] == known[None, :]] = 0
-    out, label = [], np.full(len(sig), -1)
-    strong = alike >= sure
-    for root in range(len(sig)):
+    out, label = _forest(alike >= sure, known)
+    near = np.argwhere(np.triu((alike >= low) & (label[:, None] != label[None, :])))
+    return [(int(order[a]), int(order[b])) for a, b in [*out, *near.tolist()]]
+
+
+def _forest(strong: np.ndarray, known: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Edges of strong that span the parts it makes of rows of equal ``known``, and each row's part."""
+    out, label = [], np.full(len(known), -1)
+    for root in range(len(known)):
         if label[root] >= 0:
             continue
         todo = np.flatnonzero(known == known[root]).tolist()
@@ -124,14 +142,93 @@ def _region_pairs(sig: np.ndarray, size: np.ndarray, known: np.ndarray, low: flo
                     label[more] = root
                     out.append((u, v))
                     todo += more.tolist()
-    near = np.argwhere(np.triu((alike >= low) & (label[:, None] != label[None, :])))
-    return [(int(order[a]), int(order[b])) for a, b in [*out, *near.tolist()]]
+    return out, label
+
+
+def _common(values: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+    """How many values each two rows share; values[i] is one of row[i]'s, once."""
+    _, of, count = np.unique(values, return_inverse=True, return_counts=True)
+    out = np.zeros((rows, rows), np.float32)
+    often = np.flatnonzero(count >= COMMON)
+    place = np.full(len(count), -1)
+    place[often] = np.arange(len(often))
+    for a in range(0, len(often), 2048):
+        has = np.zeros((rows, min(2048, len(often) - a)), np.float32)
+        here = (place[of] >= a) & (place[of] < a + has.shape[1])
+        has[row[here], place[of[here]] - a] = 1
+        out += has @ has.T
+    few = np.flatnonzero((count[of] > 1) & (count[of] < COMMON))
+    few = few[np.argsort(of[few], kind="stable")]
+    of, row, flat = of[few], row[few], out.reshape(-1)
+    for k in range(1, COMMON - 1):
+        at = np.flatnonzero(of[k:] == of[:-k])
+        np.add.at(flat, np.concatenate([row[at] * rows + row[at + k], row[at + k] * rows + row[at]]), np.float32(1))
+    return out
+
 
+def _cell_links(sets: list[np.ndarray], known: np.ndarray, side: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links on the full sets that span what is alike in a block (side 0 only), or between two (sides 0 and 1)."""
+    size = np.array([len(s) for s in sets])
+    both = _common(np.concatenate(sets), np.repeat(np.arange(len(sets)), size), len(sets)).astype(np.int64)
+    strong = 100 * both >= percent * (size[:, None] + size[None, :] - both)
+    strong &= known[:, None] != known[None, :]
+    if side.any():
+        strong &= side[:, None] != side[None, :]
+    return _forest(strong, known)[0]
+
+
+def dense_members(classes: DataFrame, *, trees: int, depth: int, region: int, whole: int) -> DataFrame:
+    """(id, known, key, i, j, side): the rows of each pair of blocks (i, j), i <= j, of every dense region."""
+    rows = classes.select("id", "n", "known", "paths", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
+    key = F.xxhash64("tree", F.substr("paths", F.col("tree") * (4 * depth) + 1, F.lit(4 * whole)))
+    rows = rows.select("id", "n", "known", key.alias("key"))
+    groups = rows.groupBy("key").agg(F.count("*").alias("k"), F.sum("n").alias("s"), (F.min("known") != F.max("known")).alias("open")).where(f"k > {region} and open")
+    groups = groups.select("key", F.ceil(F.greatest(F.col("k") / BLOCK, F.col("s") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    rows = rows.join(groups, "key").withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    rows = rows.select("id", "known", "key", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    return rows.select("id", "known", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+
+
+def dense_links(members: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b), a < b, among dense_members, by their full sets (id, own)."""
+    cell = ["key", "i", "j"]
+    rows = members.hint("merge").join(full, "id").repartition(*cell).sortWithinPartitions(*cell)
+
+    def links(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        known = rows.column("known").to_numpy()
+        if len(rows) < 2 or (known == known[0]).all():
+            return
+        sets = [s.values.to_numpy() for s in rows.column("own")]
+        if found := _cell_links(sets, known, rows.column("side").to_numpy(), percent):
+            id_ = rows.column("id").combine_chunks()
+            yield pa.RecordBatch.from_arrays([id_.take(pa.array(x, pa.int64())) for x in zip(*found, strict=True)], ["a", "b"])
 
-def candidates(classes: DataFrame, *, which: range, near: bool, depth: int, region: int, threshold: float) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[pa.RecordBatch] = []
+        at = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cells = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in cell], 1)
+            edges = [0, *(np.flatnonzero((cells[1:] != cells[:-1]).any(1)) + 1).tolist(), len(cells)]
+            for a, b in zip(edges, edges[1:], strict=False):
+                if kept and tuple(cells[a]) != at:
+                    yield from links(pa.Table.from_batches(kept))
+                    kept = []
+                at = tuple(cells[a])
+                kept.append(batch.slice(a, b - a))
+        if kept:
+            yield from links(pa.Table.from_batches(kept))
+
+    out = rows.mapInArrow(run, f"a {ID}, b {ID}")
+    return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct()
+
+
+def candidates(classes: DataFrame, *, which: range, near: bool, depth: int, region: int, threshold: float, whole: int) -> DataFrame:
     """Pairs (a, b), a < b, of classes (id, n, sig, paths, known) that meet in some trees and have other ``known``.
 
-    Without near only spanning forests of what is likely above the threshold; with it all that may be above.
+    Without near only spanning forests of what is likely above the threshold; with it all that may be above, but for
+    the dense regions.
     """
     margin = 4 * (threshold * (1 - threshold) / SIGNATURE) ** 0.5
     low, sure = (threshold - margin, min(0.99, threshold + margin)) if near else (2.0, threshold + margin / 8)
@@ -149,7 +246,7 @@ def candidates(classes: DataFrame, *, which: range, near: bool, depth: int, regi
         same = np.logical_and.accumulate(path[1:] == path[:-1], axis=1).sum(1)
         same[(key[1:, :2] != key[:-1, :2]).any(1)] = -1
         known, found = batch.column("known").to_numpy(), []
-        for a, b in _leaves(same, region, depth):
+        for a, b in _leaves(same, region, depth, whole if near else None):
             found += [(a + i, a + j) for i, j in _region_pairs(sig[a:b], size[a:b], known[a:b], low, sure, threshold)]
         if not found:
             return None
@@ -179,7 +276,7 @@ def _linked(sets_a: Column, sets_b: Column, percent: int) -> Column:
     return 100 * both >= percent * (a + b - both)
 
 
-def near_dedup(docs: DataFrame, *, words: int = 5, percent: int = 80, trees: int = 16, depth: int = 8, region: int = 96, first_trees: int = 4, seed: int = 5, scratch: Scratch | None = None) -> DataFrame:
+def near_dedup(docs: DataFrame, *, words: int = 5, percent: int = 80, trees: int = 16, depth: int = 8, region: int = 96, first_trees: int = 4, whole: int = 3, seed: int = 5, scratch: Scratch | None = None) -> DataFrame:
     """uid, doc_id, n_shingles, component_id and first (whether the row stands for its component) of every document."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -189,20 +286,24 @@ def near_dedup(docs: DataFrame, *, words: int = 5, percent: int = 80, trees: int
     classes = scratch.save(rows.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("id").alias("class")), "classes")
     firsts = rows.join(classes.select(F.col("class").alias("id")).hint("merge"), "id", "left_semi").select("id", "n", "sig", "paths")
     firsts = scratch.save(firsts, "firsts")
-    how = {"depth": depth, "region": region, "threshold": percent / 100}
+    whole = min(whole, depth)
+    how = {"depth": depth, "region": region, "threshold": percent / 100, "whole": whole}
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = [shingles(t, words).view(np.int64) for t in batch.column("data").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(own, pa.list_(pa.int64()))], ["id", "own"])
 
-    def links(pairs: DataFrame, name: str) -> DataFrame:
-        """Pairs that the full sets confirm. Merge hints: joins that meet texts or sets are done alike at every size."""
-        asked = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-        asked = scratch.save(asked, f"asked{name}")
+    def full_sets(asked: DataFrame, name: str) -> DataFrame:
+        asked = scratch.save(asked.distinct(), f"asked{name}")
         texts = docs.join(asked.hint("merge"), "id", "left_semi").select("id", F.col("text").cast("binary").alias("data"))
         full = scratch.save(texts.mapInArrow(sets, f"id {ID}, own array<long>"), f"full{name}")
         release(spark)
+        return full
+
+    def links(pairs: DataFrame, name: str) -> DataFrame:
+        """Pairs that the full sets confirm. Merge hints: joins that meet texts or sets are done alike at every size."""
+        full = full_sets(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))), name)
         met = pairs.hint("merge").join(full.select(F.col("id").alias("a"), F.col("own").alias("own_a")), "a")
         met = met.hint("merge").join(full.select(F.col("id").alias("b"), F.col("own").alias("own_b")), "b")
         out = scratch.save(met.where(_linked(F.col("own_a"), F.col("own_b"), percent)).select("a", "b"), f"links{name}")
@@ -215,11 +316,16 @@ def near_dedup(docs: DataFrame, *, words: int = 5, percent: int = 80, trees: int
     early = scratch.save(candidates(firsts.withColumn("known", F.xxhash64("id")), which=first, near=False, **how), "early")
     linked = components(links(early, "1"), scratch)
     known = firsts.join(linked.select(F.col("node").alias("id"), "root"), "id", "left")
-    known = known.withColumn("known", F.xxhash64(F.coalesce("root", "id"))).drop("root")
+    known = scratch.save(known.withColumn("known", F.xxhash64(F.coalesce("root", "id"))).drop("root"), "known")
+    scratch.drop("firsts")
+    members = scratch.save(dense_members(known, trees=trees, depth=depth, region=region, whole=whole), "members")
+    dense = scratch.save(dense_links(members, full_sets(members.select("id"), "-dense"), percent), "dense")
+    scratch.drop("members", "asked-dense", "full-dense")
+    release(spark)
     late = candidates(known, which=range(trees), near=True, **how).join(early, ["a", "b"], "left_anti")
     more = links(scratch.save(late, "late"), "2")
-    roots = components(more.unionByName(linked.select(F.col("node").alias("a"), F.col("root").alias("b"))), scratch)
-    scratch.drop("firsts", "early", "late", "links1", "links2")
+    roots = components(more.unionByName(dense).unionByName(linked.select(F.col("node").alias("a"), F.col("root").alias("b"))), scratch)
+    scratch.drop("known", "dense", "early", "late", "links1", "links2")
 
     named = classes.join(roots.select(F.col("node").alias("class"), "root"), "class", "left")
     named = scratch.save(named.select("n", "h1", "h2", F.coalesce("root", "class").alias("root")), "named")

@@ -134,6 +134,42 @@ def test_near_copies(spark):
         assert len(wrong) <= (0 if region == 96 else 3)  # small regions leave more to chance
 
 
+def test_links_within_a_dense_mass(spark):
+    """Some thousands of texts alike just below the threshold, and among them pairs just above it, far apart by id."""
+    rng = random.Random(4)
+    template, docs, fresh = [f"t{i}" for i in range(96)], [], iter(range(10**6))
+    new = lambda n: [f"n{next(fresh)}" for _ in range(n)]
+    for _ in range(3000):
+        docs.append(template + new(16))  # 96 of 128: 0.75
+    for i in range(40):
+        own = new(11)
+        docs[i * 7], docs[2999 - i * 11] = template + own + new(13), template + own + new(13)  # 107 of 133: 0.804
+    for i in (3, 1001, 1999, 2995):
+        docs[i] = template + new(12)  # 96 of 120: exactly 0.8 to each other, and they share no word but the template's
+    words_of = [" ".join(rng.sample(d, len(d))) for d in docs]
+    sets = [set(d) for d in docs]
+    at = {w: k for k, w in enumerate(sorted(set().union(*sets)))}
+    has = np.zeros((len(docs), len(at)), np.float32)
+    for i, own in enumerate(sets):
+        has[i, [at[w] for w in own]] = 1
+    both, size = (has @ has.T).astype(int), np.array([len(s) for s in sets])
+    linked = np.argwhere(np.triu(100 * both >= 80 * (size[:, None] + size[None, :] - both), 1))
+    want = {}
+    for a, b in linked.tolist():
+        want.setdefault(b, want.get(a, a))
+    assert len(linked) == 46
+    df = spark.createDataFrame(list(enumerate(words_of)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_dedup(df, words=1).collect()}
+    assert got == {i: want.get(i, i) for i in range(len(docs))}
+
+
+def test_common_counts():
+    rng = np.random.default_rng(6)
+    sets = [np.unique(np.concatenate([rng.integers(0, 40, 30), rng.integers(40, 3000, 60)])) for _ in range(150)]
+    got = near_dedup._common(np.concatenate(sets), np.repeat(np.arange(150), [len(s) for s in sets]), 150)
+    assert all(got[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(150) for j in range(150) if i != j)
+
+
 @settings(max_examples=30)
 @given(st.lists(st.integers(0, 5000), max_size=40), st.sampled_from([8, 64, 2048]))
 def test_packer_fills(lengths, capacity):
