@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from helixsieve.llm.common import small_batches
 
-DIMS = 1 << 12
+DIMS = 1 << 13
 #: Families of common languages, by ISO 639-1 code.
 FAMILIES = {
     "germanic": "en de nl sv da no is af lb fy yi".split(),
@@ -49,7 +49,7 @@ def trigram_counts(text: str) -> np.ndarray:
     """Counts of hashed byte trigrams of a text with a space at either end; white space counts as a space."""
     x = np.frombuffer(b" " + text.lower().encode().translate(bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")) + b" ", np.uint8).astype(np.uint32)
     h = (x[:-2] << np.uint32(16) | x[1:-1] << np.uint32(8) | x[2:]) * np.uint32(2654435761)
-    return np.bincount(h >> np.uint32(20), minlength=DIMS)
+    return np.bincount(h >> np.uint32(19), minlength=DIMS)
 
 
 def unit(counts: np.ndarray) -> np.ndarray:
@@ -131,8 +131,11 @@ def fit(docs: DataFrame, *, per_language: int = 500) -> Model:
     got = sorted((r["lang"], bytes(r["x"])) for r in rows.select("lang", "text").mapInArrow(features, "lang string, x binary").collect())
     if not got:
         return Model(np.zeros((0, DIMS), np.float32), [])
-    x = np.stack([np.frombuffer(b, "<f2").astype(np.float32) for _, b in got])
-    return Model(x / np.maximum(1e-9, np.sqrt((x * x).sum(1, keepdims=True))), [v for v, _ in got])
+    x, langs = np.empty((len(got), DIMS), np.float32), [v for v, _ in got]
+    for i in range(len(got)):
+        x[i], got[i] = np.frombuffer(got[i][1], "<f2"), None  # a row at a time, so that the sample is held once
+        x[i] /= max(1e-9, float(np.sqrt((x[i] * x[i]).sum())))
+    return Model(x, langs)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

@@ -230,6 +230,14 @@ def test_packing_query(spark):
         assert at == len(ids)
 
 
+def test_trigrams_have_8192_places():
+    from helixsieve.llm import langid
+
+    own = [f"{a}{b}" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"]
+    counts = langid.trigram_counts(" ".join(own))
+    assert len(counts) == 8192 and counts[4096:].any()
+
+
 def test_held_out_languages(spark):
     docs = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     rows = queries()["op1_language_id"](spark, SF).collect()
