@@ -410,7 +410,7 @@ def small_rna(spark, sf_dir) -> DataFrame:
     """Inserts of 15 to 45 bases before the 3' adapter, some after the 5' adapter's end."""
     insert = F.substr("seq1", F.lit(1), (15 + F.col("ord") % 31).cast("int"))
     seq = F.concat(F.when(F.col("ord") % 19 == 0, ADAPTER2[-10:]).otherwise(""), F.when(F.col("ord") % 23 == 1, "").otherwise(insert), F.when(F.col("ord") % 13 == 0, "").otherwise(ADAPTER1[:20]))
-    return reads(spark, sf_dir).where("length(seq1) > 100").select("ord", "id1", seq.alias("seq1")).select("ord", "id1", "seq1", F.rpad(F.lit("F"), F.length("seq1"), "F").alias("qual1"))
+    return reads(spark, sf_dir).select("ord", "id1", seq.alias("seq1")).select("ord", "id1", "seq1", F.rpad(F.lit("F"), F.length("seq1"), "F").alias("qual1"))
 
 
 @query()

@@ -217,3 +217,12 @@ def test_stream(spark, tmp_path):
     q = live.running_counts(stream, p).writeStream.outputMode("complete").format("memory").queryName("counts").trigger(availableNow=True).start()
     q.awaitTermination()
     assert {r["reason"]: r["reads"] for r in spark.table("counts").collect()} == {"clean": 15, "short": 15}
+
+
+def test_small_rna_takes_every_read(spark):
+    from helixsieve import queries
+    from helixsieve.fixtures import reads
+
+    sf = "/root/testdata/sf0.001"
+    n = reads(spark, sf).count()
+    assert queries.srna_adapters(spark, sf).count() == queries.filter_srna(spark, sf).count() == n
