@@ -63,7 +63,7 @@ def duplicates(df: DataFrame, *seqs: str) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(W.partitionBy(*key).orderBy("ord"))).where("_rn > 1").drop("_rn")
 
 
-def likely_duplicates(df: DataFrame, *seqs: str, expected: int = 1_000_000) -> DataFrame:
+def likely_duplicates(df: DataFrame, *seqs: str) -> DataFrame:
     """An approximate variant: copies by a 64-bit hash of the sequence only, without carrying the sequences along."""
     key = F.xxhash64(F.concat(*seqs))
     firsts = df.groupBy(key.alias("_key")).agg(F.min("ord").alias("ord"))

@@ -226,3 +226,11 @@ def test_small_rna_takes_every_read(spark):
     sf = "/root/testdata/sf0.001"
     n = reads(spark, sf).count()
     assert queries.srna_adapters(spark, sf).count() == queries.filter_srna(spark, sf).count() == n
+
+
+def test_likely_duplicates_has_no_idle_parameter():
+    import inspect
+
+    from helixsieve.operators import selection
+
+    assert list(inspect.signature(selection.likely_duplicates).parameters) == ["df", "seqs"]
