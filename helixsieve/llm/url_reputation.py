@@ -1,6 +1,8 @@
 """URL filter: fixed rules first, then host reputation by empirical Bayes. DataFrame operations only.
 
-Labelled page outcomes (bad or not) are counted by host, registered domain (last two labels) and suffix (last label).
+Labelled page outcomes (bad or not) are counted by host, registered domain and suffix. The suffix is
+the longest fitting one of ``suffixes`` (of some labels, as co.uk; part of the plan, so thousands at most), or else the
+last label; the domain is the suffix and the label before it.
 Each level's bad rate is shrunk towards its parent's by a beta-binomial prior whose strength comes from the level's
 own over-dispersion (method of moments). A host is blocked if the lower bound of its posterior bad rate,
 ``mean - z * sd``, reaches ``cut``; a host without outcomes inherits its domain's, suffix's or the overall rate.
@@ -13,6 +15,7 @@ outcomes the rules alone block.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -52,15 +55,16 @@ def _strength(level: DataFrame, name: str) -> DataFrame:
     return sums.select(strength.alias(name), ((F.coalesce(b, F.lit(0)) + 1) / (F.coalesce(n, F.lit(0)) + 10)).alias("overall"))
 
 
-def host_reputation(hosts: DataFrame, *, z: float, cut: float) -> DataFrame:
+def host_reputation(hosts: DataFrame, *, z: float, cut: float, suffixes: Sequence[str] = ()) -> DataFrame:
     """From (host, n outcomes, b bad ones): host, rate, bound and verdict."""
-    hosts = hosts.withColumn("domain", F.regexp_extract("host", r"([^.]*\.)?[^.]*$", 0)).withColumn("suffix", F.regexp_extract("host", "[^.]*$", 0))
+    last = "|".join([*map(re.escape, sorted(suffixes)), "[^.]*"])
+    hosts = hosts.withColumn("domain", F.regexp_extract("host", rf"([^.]*\.)?({last})$", 0)).withColumn("suffix", F.regexp_extract("host", rf"(?:^|\.)({last})$", 1))
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
-    k = [_strength(level, f"k{i}").first() for i, level in enumerate((suffixes, domains, hosts))]
+    by_suffix = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
+    k = [_strength(level, f"k{i}").first() for i, level in enumerate((by_suffix, domains, hosts))]
     shrunk = lambda strength, prior: (F.col("b") + strength * prior) / (F.col("n") + strength)
-    suffixes = suffixes.select("suffix", shrunk(k[0][0], F.lit(k[0]["overall"])).alias("suffix_rate"))
-    domains = domains.join(suffixes, "suffix").select("domain", shrunk(k[1][0], F.col("suffix_rate")).alias("domain_rate"))
+    by_suffix = by_suffix.select("suffix", shrunk(k[0][0], F.lit(k[0]["overall"])).alias("suffix_rate"))
+    domains = domains.join(by_suffix, "suffix").select("domain", shrunk(k[1][0], F.col("suffix_rate")).alias("domain_rate"))
     rate = shrunk(k[2][0], F.col("domain_rate"))
     out = hosts.join(domains, "domain").withColumn("rate", rate)
     bound = F.col("rate") - z * F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("n") + k[2][0] + 1))
@@ -68,7 +72,7 @@ def host_reputation(hosts: DataFrame, *, z: float, cut: float) -> DataFrame:
     return out.select("host", "rate", "bound", F.when(F.col("bound") >= cut, "block").otherwise("allow").alias("host_verdict"))
 
 
-def filter_urls(pages: DataFrame, outcomes: DataFrame, *, rules: Sequence[tuple[str, str, str]] = RULES, z: float = 1.645, cut: float = 0.5, scratch: Scratch | None = None) -> DataFrame:
+def filter_urls(pages: DataFrame, outcomes: DataFrame, *, rules: Sequence[tuple[str, str, str]] = RULES, z: float = 1.645, cut: float = 0.5, suffixes: Sequence[str] = (), scratch: Scratch | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict, rate and bound of every page. outcomes: page_id, bad (boolean)."""
     scratch = scratch or Scratch(pages.sparkSession, "urls")
     host, path = split_url(F.coalesce("url", F.lit("")))
@@ -78,7 +82,7 @@ def filter_urls(pages: DataFrame, outcomes: DataFrame, *, rules: Sequence[tuple[
     known = outcomes.where("bad is not null").groupBy("page_id").agg(F.max(F.col("bad").cast("long")).alias("bad"))
     counted = parts.join(known, "page_id", "left").groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("b"))
     hosts = scratch.save(counted, "hosts")
-    judged = scratch.save(host_reputation(hosts, z=z, cut=cut), "judged")
+    judged = scratch.save(host_reputation(hosts, z=z, cut=cut, suffixes=suffixes), "judged")
     # Both sides are scans, so that adaptive execution can split a hot host.
     out = parts.join(judged, "host")
     return out.select("page_id", "host", "path", "rule", F.coalesce("verdict", "host_verdict").alias("verdict"), "rate", "bound")

@@ -179,3 +179,9 @@ def test_topk(spark):
             assert [m[1:] for m in mine[1:]] == [(i, -s) for s, i in want[:4]]
     empty = df.limit(0)
     assert topk.top_k(empty, empty).count() == 0
+
+
+def test_suffixes_of_several_labels(spark):
+    hosts = spark.createDataFrame([("x.a.co.uk", 50, 50), ("y.a.co.uk", 0, 0), ("y.b.co.uk", 0, 0), ("c.co.uk", 50, 0), ("d.com", 50, 0)], "host string, n long, b long")
+    rates = {r["host"]: r["rate"] for r in url_reputation.host_reputation(hosts, z=1.645, cut=0.5, suffixes=["co.uk"]).collect()}
+    assert rates["y.a.co.uk"] > rates["y.b.co.uk"] + 0.1
