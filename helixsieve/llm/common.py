@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 #: Bytes that separate words, as a regular expression's class: space, tab to carriage return.
 SPACE = r"\x20\x09-\x0D"
 #: A word, and the same bytes for ``bytes.translate``.
 WORD = rf"[^{SPACE}]+"
 SPACE_BYTES = b" \t\n\x0b\x0c\r"
+#: Spark's setting to delete an execution's shuffle files at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,9 +48,14 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.top}/{name}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Write df, and read it back with its schema."""
-        df.write.parquet(self.path(name))
+    def save(self, df: DataFrame, name: str, **options) -> DataFrame:
+        """Write df, and read it back with its schema. The shuffle files that it took go once it is written."""
+        held = self.spark.conf.get(CLEANUP, "false")
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.options(**options).parquet(self.path(name))
+        finally:
+            self.spark.conf.set(CLEANUP, held)
         return self.load(name, df)
 
     def load(self, name: str, like: DataFrame) -> DataFrame:
@@ -66,25 +74,61 @@ def small_batches(spark: SparkSession, rows: int = 500) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > rows or int(spark.conf.get(key)) <= 0:
         spark.conf.set(key, rows)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
 
 
-def with_uid(df: DataFrame, name: str = "uid") -> DataFrame:
+#: Nodes of a plan that neither multiply nor move a file's rows.
+_SCAN = {"LogicalRelation", "Project", "Filter", "SubqueryAlias", "View"}
+
+
+def _is_scan(df: DataFrame) -> bool:
+    """Whether df is one file scan, projected and filtered by expressions that every scan evaluates alike."""
+    plan = df._jdf.queryExecution().analyzed()
+    relations = 0
+    while True:
+        name = plan.nodeName() if "LogicalRelation" not in plan.getClass().getName() else "LogicalRelation"
+        if name not in _SCAN:
+            return False
+        relations += name == "LogicalRelation"
+        if not plan.children().size():
+            return relations == 1 and df._jdf.queryExecution().analyzed().deterministic()
+        plan = plan.children().head()
+
+
+def settled(df: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """df if it is a plain scan of files that number their rows, and else a table it is written to."""
+    if _is_scan(df):
+        try:
+            return df.select("*", df.metadataColumn("_metadata")["row_index"].alias("__place")).drop("__place")
+        except AnalysisException:  # files of a kind that has no row numbers
+            pass
+    return (scratch or Scratch(df.sparkSession, "settled")).save(df, f"rows-{uuid.uuid4().hex}")
+
+
+def with_uid(df: DataFrame, name: str = "uid", scratch: Scratch | None = None) -> DataFrame:
     """Add a key for each row, repeated rows included: hash of the file, and place in the file.
 
-    It doesn't depend on how a scan is split, so two scans of one table agree. A frame that is no plain file scan has
-    no such place; its rows get Spark's increasing id, which holds within one plan only.
+    It doesn't depend on how a scan is split, so that all scans of one table agree. A frame that is no plain scan of
+    files with such places (a join, a shuffle, rows of the driver) is written as a table first, and the table is keyed.
     """
-    try:
-        return df.withColumn(name, F.struct(F.xxhash64("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("r")))
-    except AnalysisException:
-        return df.withColumn(name, F.struct(F.lit(0).cast("long").alias("f"), F.monotonically_increasing_id().alias("r")))
+    df = settled(df, scratch)
+    place = df.metadataColumn("_metadata")
+    return df.withColumn(name, F.struct(F.xxhash64(place["file_path"]).alias("f"), place["row_index"].alias("r")))
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def in_order(df: DataFrame, keys: Sequence[str], scratch: Scratch, name: str) -> DataFrame:
+    """df in a global order by keys, written once, with ``rank`` (from 0) and ``part``, the range that a row is in.
+
+    One exchange into ranges of near equal rows; equal keys are split too if the keys end in one that tells rows apart.
+    A row's place in its range's file is its rank there, so nothing is counted but rows a range, and what is broadcast
+    is one row a range: as many as the session has shuffle partitions.
+    """
+    rows = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("part", F.spark_partition_id())
+    rows = scratch.save(rows, name, maxRecordsPerFile=0)
+    before = rows.groupBy("part").agg(F.count("*").alias("n")).select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("__before"))
+    rows = rows.withColumn("__at", rows.metadataColumn("_metadata")["row_index"]).join(F.broadcast(before), "part")
+    return rows.withColumn("rank", F.col("__before") + F.col("__at")).drop("__at", "__before")
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished steps: its cleaner follows the driver's garbage collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")

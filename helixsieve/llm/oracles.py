@@ -1,11 +1,12 @@
 """SQL for DuckDB that gives the rows of those queries that SQL can express, by other means than the operators.
 
-None for language ID (a learned model), packing (a tokenizer) and for sharding and mixing (orders by a hash of Spark's):
-their tests hold them against the contracts' own conditions.
+None for language ID (a learned model) and packing (a tokenizer): tests hold them against brute force.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from helixsieve.llm.url_reputation import LOWER, RULES, UPPER
 
 WORDS = r"coalesce(regexp_extract_all({}, '[^\x20\x09-\x0D]+'), CAST([] AS VARCHAR[]))"
@@ -83,6 +84,42 @@ g AS (SELECT own, arg_min(doc_id, (-n, doc_id)) AS keep_id, count(*) AS group_si
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(own) AS text_sha256 FROM d JOIN g USING (own)
 """
 
+
+def _crc32(data: str) -> str:
+    """CRC-32 of hexadecimal digits, a byte a step; a byte's remainder is the exclusive or of its bits' remainders."""
+    parts = []
+    for bit in range(8):
+        value = 1 << bit
+        for _ in range(8):
+            value = value >> 1 ^ (0xEDB88320 if value & 1 else 0)
+        parts.append(f"((xor(c, b) >> {bit}) & 1) * {value}")
+    step = f"xor(c >> 8, {reduce(lambda x, y: f'xor({x}, {y})', parts)})"
+    bytes_ = f"list_transform(string_split(rtrim(regexp_replace({data}, '(..)', '\\1 ', 'g')), ' '), lambda x: CAST('0x' || x AS BIGINT))"
+    return f"CASE WHEN {data} = '' THEN 0 ELSE xor(list_reduce(list_prepend(4294967295, {bytes_}), lambda c, b: {step}), 4294967295) END"
+
+
+#: Boundary s is before the first row whose bytes, it included, reach s of 40 parts of all, or after it if that is nearer.
+OP8 = f"""
+WITH d AS (SELECT doc_id, CAST(strlen(coalesce(text, '')) + 16 AS BIGINT) AS size, md5(coalesce(text, '')) AS h, hex(encode(coalesce(text, ''))) AS x FROM documents),
+r AS (SELECT *, row_number() OVER w - 1 AS n, sum(size) OVER w AS upto, sum(size) OVER () AS total FROM d WINDOW w AS (ORDER BY h, doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING)),
+f AS (SELECT s, min_by(struct_pack(n := n, size := size, below := upto - size, total := total), n) AS c FROM r, range(1, 40) t(s) WHERE upto * 40 >= total * s GROUP BY s),
+c AS (SELECT s, CASE WHEN 2 * c.total * s > (2 * c.below + c.size) * 40 THEN c.n + 1 ELSE c.n END AS first FROM f),
+p AS (SELECT r.*, (SELECT count(*) FROM c WHERE c.first <= r.n) AS shard, coalesce((SELECT max(c.first) FROM c WHERE c.first <= r.n), 0) AS first FROM r)
+SELECT doc_id, size, CAST({_crc32('x')} AS BIGINT) AS text_crc32, 'bytes' AS law, CAST(shard AS INT) AS shard, CAST(n - first AS BIGINT) AS slot, CAST(NULL AS INT) AS grown_shard FROM p
+"""
+
+#: The cut's time as num / den: at the last source's end that the budget outlasts, or 0, and on from there at the rate of the others.
+OP9 = f"""
+WITH s AS (SELECT doc_id, source, CAST(len({WORDS.format('text')}) AS HUGEINT) AS size, md5('17|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(text, '')) AS ticket FROM documents),
+g AS (SELECT source, sum(size) AS own, [3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM s GROUP BY source),
+e AS (SELECT own, w FROM g WHERE own > 0 UNION ALL SELECT 0, 1),
+v AS (SELECT e.own, e.w, sum(least(2 * g.own * e.w, g.w * 2 * e.own)) AS vw, sum(g.w) FILTER (g.own * e.w > e.own * g.w) AS r, sum(g.own) AS total FROM e, g GROUP BY ALL),
+t AS (SELECT 4 * own * r + 3 * total * w - 2 * vw AS num, 2 * w * r AS den FROM v WHERE 2 * vw <= 3 * total * w ORDER BY own / w DESC LIMIT 1),
+q AS (SELECT s.*, own, w, num, den, w * num // den AS quota, sum(size) OVER (PARTITION BY s.source ORDER BY ticket ROWS UNBOUNDED PRECEDING) - size AS before FROM s JOIN g ON s.source IS NOT DISTINCT FROM g.source, t)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(own AS BIGINT) AS source_size, least(CAST(w * num AS DOUBLE) / CAST(den AS DOUBLE), CAST(2 * own AS DOUBLE)) AS target,
+CAST(least(size, greatest(0, quota - before)) + least(size, greatest(0, quota - own - before)) AS BIGINT) AS taken FROM q
+"""
+
 OP10 = f"""
 WITH d AS (SELECT doc_id, {WORDS.format('text')} AS w FROM documents),
 x AS (SELECT doc_id, i, array_to_string(w[i:i + 34], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d) y),
@@ -92,4 +129,4 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(js), 0) AS
 sha256(array_to_string(CASE WHEN js IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(js, i)) END, ' ')) AS kept_sha256 FROM d LEFT JOIN c ON c.doc_id = d.doc_id
 """
 
-ORACLES = {"op2_lsh_forest": OP2, "op3_url_reputation": OP3, "op4_ball_tree_topk": OP4, "op5_arc_to_warc": OP5, "op7_exact_dedup": OP7, "op10_suffix_trees": OP10}
+ORACLES = {"op2_lsh_forest": OP2, "op3_url_reputation": OP3, "op4_ball_tree_topk": OP4, "op5_arc_to_warc": OP5, "op7_exact_dedup": OP7, "op8_histogram_sort": OP8, "op9_fair_queueing": OP9, "op10_suffix_trees": OP10}

@@ -33,7 +33,7 @@ def test_unequal_texts_of_one_fingerprint(spark, monkeypatch):
     cloudpickle.register_pickle_by_value(exact_dedup)
     try:
         docs = spark.createDataFrame([(1, "abc"), (2, "abd"), (3, "a bc"), (4, "abd"), (5, "xyz")], "doc_id long, text string")
-        got = {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in exact_dedup.exact_dedup(docs, chunk_chars=2).collect()}
+        got = {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in exact_dedup.exact_dedup(docs, chunk_bytes=2).collect()}
     finally:
         cloudpickle.unregister_pickle_by_value(exact_dedup)
     assert got == {1: (3, 2), 3: (3, 2), 2: (2, 2), 4: (2, 2), 5: (5, 1)}
@@ -205,7 +205,7 @@ def test_packer_fills(lengths, capacity):
 def test_word_ids():
     from tokenizers import Tokenizer
 
-    plain, own = Tokenizer.from_file(tokenizer_path()), packing.word_tokenizer(tokenizer_path())
+    plain, own = Tokenizer.from_file(tokenizer_path()), packing.WordIds(tokenizer_path())
     rng = random.Random(2)
     letters = [*"abzÉéß'’\"-_.,!?#$%&*:;|0189½ \t\nñÀΣ中\U0001f600̧́ ​×÷", "'s", "'LL", " The ", "don't,", "naïve!!"]
     for _ in range(4000):
