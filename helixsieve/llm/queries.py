@@ -41,9 +41,13 @@ def op4_ball_tree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages become ARC files, these WARC files, and what is returned is read from them."""
     scratch = Scratch(spark, "warc")
-    warc.write_warc(table(spark, sf_dir, "pages"), scratch.path("archive"), scratch=scratch)
-    return warc.read_warc(spark, scratch.path("archive"))
+    warc.write_arc(table(spark, sf_dir, "pages"), scratch.path("arc"))
+    warc.convert_arc(spark, scratch.path("arc"), scratch.path("warc"), scratch=scratch)
+    scratch.drop("arc")
+    out = warc.read_warc(spark, scratch.path("warc"), scratch=scratch)
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op6_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
