@@ -1,27 +1,31 @@
 """Near-duplicates by MinHash and an LSH forest.
 
-A document's set is its distinct word shingles, as 64-bit hashes. Documents of equal sets (equal size and 128-bit set
-hash) are one class from the start, and one of them stands for it. Classes have a signature and ``trees`` sequences of
-``depth`` MinHash values. Each tree is the classes sorted by its sequence; classes that share the longest prefixes are
+A document's set is its distinct word shingles, as 64-bit hashes. Documents of equal sets (equal BLAKE2b digest of the
+sorted set) are one class from the start, and one of them stands for it. Classes have a signature and ``trees`` sequences
+of ``depth`` MinHash values. Each tree is the classes sorted by its sequence; classes that share the longest prefixes are
 neighbours. A region of a tree, the classes below one prefix, is taken as it is if it has at most ``region`` classes,
 and otherwise split by the next value: the depth adapts to how dense a region is. Within a region signatures are
 compared: pairs that may be above the threshold become candidates. Every candidate is confirmed on the full sets. Links
 make components. A first round over some trees takes only spanning forests of what is likely alike, down to full depth,
-where a region that is still larger is covered by overlapping blocks. For the second, over all trees, what the first has linked is one, and a region that is larger
-than ``region`` after ``whole`` values is not split but compared whole, on the full sets, block against block.
+where a region that is still larger is covered by overlapping blocks. For the second, over all trees, what the first's
+confirmed links have joined is one, all other pairs are asked anew, and a region that is larger than ``region`` after
+``whole`` values is not split but compared whole, on the full sets, block against block.
 
 No partner is dropped for being one of many: whatever shares ``whole`` values in some tree is compared, however dense
-its region. The trees are range-partitioned by the whole sequence and the class, and the pairs of blocks are dealt by
-hash, so a hot group spreads over many tasks. A dense region's comparisons grow with the square of its classes, their
-rows with the square over the rows of a block.
+its region. The trees are range-partitioned by the whole sequence and the class; each task hands on its first and last
+``region`` rows, and regions that cross a border are compared on these. Pairs of blocks are dealt by hash. So a hot group
+spreads over many tasks. A dense region's comparisons grow with the square of its classes, their rows with the square
+over the rows of a block.
 
 Without words or text a set is empty and links with nothing. With fewer words than a shingle the whole sequence is one
-shingle. A null doc_id ranks after all others, as null. Repeated rows are of one class. Empty tables give an empty
+shingle. A text of any length is read whole. A null doc_id ranks after all others, as null. Repeated rows are of one
+class; of rows that tie in doc_id the first by file and place stands for a component. Empty tables give an empty
 result. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -71,21 +75,21 @@ def _sets(docs: DataFrame, words: int, trees: int, depth: int, seed: int) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         functions = _functions(SIGNATURE + trees * depth, seed)
         for batch in batches:
-            cols: list[list] = [[], [], [], [], []]
+            cols: list[list] = [[], [], [], []]
             for text in batch.column("data").to_pylist():
                 own = shingles(text, words)
-                row = [len(own), 0, 0, None, None]
+                row = [len(own), None, None, None]
                 if len(own):
                     got = mix(minhash(own, functions).astype(np.uint64))  # minima are small; mixed, every bit tells them apart
-                    row[1:3] = [int(h.sum().view(np.int64)) for h in (mix(own), mix(own ^ U(0x5851F42D4C957F2D)))]
-                    row[3] = (got[:SIGNATURE] >> U(56)).astype(np.uint8).tobytes()
-                    row[4] = (got[SIGNATURE:] >> U(32)).astype(">u4").tobytes()
+                    row[1] = hashlib.blake2b(own.astype("<u8").tobytes(), digest_size=16).digest()
+                    row[2] = (got[:SIGNATURE] >> U(56)).astype(np.uint8).tobytes()
+                    row[3] = (got[SIGNATURE:] >> U(32)).astype(">u4").tobytes()
                 for c, v in zip(cols, row, strict=True):
                     c.append(v)
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], ["id", "n", "h1", "h2", "sig", "paths"])
+            types = [pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], ["id", "n", "digest", "sig", "paths"])
 
-    return docs.select("id", F.col("text").cast("binary").alias("data")).mapInArrow(run, f"id {ID}, n long, h1 long, h2 long, sig binary, paths binary")
+    return docs.select("id", F.col("text").cast("binary").alias("data")).mapInArrow(run, f"id {ID}, n long, digest binary, sig binary, paths binary")
 
 
 def _leaves(lcp: np.ndarray, region: int, depth: int, whole: int | None = None) -> Iterator[tuple[int, int]]:
@@ -228,7 +232,7 @@ def dense_links(members: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct()
 
 
-def candidates(classes: DataFrame, *, which: range, near: bool, depth: int, region: int, threshold: float, whole: int) -> DataFrame:
+def candidates(classes: DataFrame, *, which: range, near: bool, depth: int, region: int, threshold: float, whole: int, scratch: Scratch, name: str) -> DataFrame:
     """Pairs (a, b), a < b, of classes (id, n, sig, paths, known) that meet in some trees and have other ``known``.
 
     Without near only spanning forests of what is likely above the threshold; with it all that may be above, but for
@@ -240,38 +244,73 @@ def candidates(classes: DataFrame, *, which: range, near: bool, depth: int, regi
     rows = classes.select("id", "n", "sig", "paths", "known", tree.alias("tree"))
     key = F.concat(F.unhex(F.lpad(F.hex("tree"), 4, "0")), F.substr("paths", F.col("tree") * (4 * depth) + 1, F.lit(4 * depth)))
     rows = rows.select(key.alias("key"), "id", "n", "sig", "known").repartitionByRange("key", "id").sortWithinPartitions("key", "id")
-
-    def pairs(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        n, width = batch.num_rows, 2 + 4 * depth
-        key = np.frombuffer(b"".join(batch.column("key").to_pylist()), np.uint8).reshape(n, width)
-        sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint8).reshape(n, SIGNATURE)
-        size = batch.column("n").to_numpy().astype(float)
+    row_names = ["key", "id", "n", "sig", "known"]
+
+    def pairs(table: pa.Table, gap: np.ndarray | None = None) -> tuple[pa.Array, pa.Array]:
+        """Both ends of a table's pairs; rows that say gap are followed by others than the next."""
+        table = table.combine_chunks()
+        n, width = len(table), 2 + 4 * depth
+        key = np.frombuffer(b"".join(table.column("key").to_pylist()), np.uint8).reshape(n, width)
+        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(n, SIGNATURE)
+        size = table.column("n").to_numpy().astype(float)
         path = key[:, 2:].copy().view(">u4")
         same = np.logical_and.accumulate(path[1:] == path[:-1], axis=1).sum(1)
         same[(key[1:, :2] != key[:-1, :2]).any(1)] = -1
-        known, found = batch.column("known").to_numpy(), []
+        if gap is not None:
+            same[gap[:-1]] = -1
+        known, found = table.column("known").to_numpy(), []
         for a, b in _leaves(same, region, depth, whole if near else None):
             found += [(a + i, a + j) for i, j in _region_pairs(sig[a:b], size[a:b], known[a:b], low, threshold, near)]
-        if not found:
-            return None
-        left, right = (pa.array(x, pa.int64()) for x in zip(*found, strict=True))
-        return pa.RecordBatch.from_arrays([batch.column("id").take(left), batch.column("id").take(right)], ["a", "b"])
+        ids, ends = table.column("id").combine_chunks(), np.array(found, np.int64).reshape(-1, 2)
+        return ids.take(pa.array(ends[:, 0])), ids.take(pa.array(ends[:, 1]))
 
-    def run(batches: Iterator[pa.RecordBatch], most: int = 50_000) -> Iterator[pa.RecordBatch]:
-        kept: list[pa.RecordBatch] = []
+    def met(table: pa.Table) -> pa.RecordBatch:
+        a, b = pairs(table)
+        more = [pa.nulls(len(a), table.schema.field(c).type) for c in row_names]
+        return pa.RecordBatch.from_arrays([a, b, *more, pa.nulls(len(a), pa.bool_())], ["a", "b", *row_names, "gap"])
 
-        def done() -> Iterator[pa.RecordBatch]:
-            if kept and (got := pairs(pa.Table.from_batches(kept).combine_chunks().to_batches()[0])):
-                yield got
+    def border(table: pa.Table, last: bool) -> pa.RecordBatch:
+        """Rows that are compared across tasks; with last, others follow the last one."""
+        table = table.combine_chunks()
+        none, n = pa.nulls(len(table), table.schema.field("id").type), len(table)
+        own = [table.column(c).combine_chunks() for c in row_names]
+        return pa.RecordBatch.from_arrays([none, none, *own, pa.array([last and i == n - 1 for i in range(n)], pa.bool_())], ["a", "b", *row_names, "gap"])
 
+    def run(batches: Iterator[pa.RecordBatch], most: int = 50_000) -> Iterator[pa.RecordBatch]:
+        """Blocks of rows; each begins with the last ``region`` rows of the one before."""
+        kept: list[pa.RecordBatch] = []
+        size, seen, begun = 0, 0, False
         for batch in batches:
-            if sum(b.num_rows for b in kept) + batch.num_rows > most:
-                yield from done()
-                kept = kept[-1:]  # a block's end is the next one's beginning
             kept.append(batch)
-        yield from done()
-
-    out = rows.mapInArrow(run, f"a {ID}, b {ID}")
+            size, seen = size + batch.num_rows, seen + batch.num_rows
+            if size < most:
+                continue
+            table = pa.Table.from_batches(kept)
+            if not begun:
+                yield border(table.slice(0, region), True)
+            yield met(table)
+            begun, kept, size = True, table.slice(size - region).to_batches(), region
+        if not seen:
+            return
+        table = pa.Table.from_batches(kept)
+        yield met(table)
+        if not begun and size <= 2 * region:
+            yield border(table, False)
+            return
+        if not begun:
+            yield border(table.slice(0, region), True)
+        yield border(table.slice(max(0, size - region)), False)
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if own := [b for b in batches if b.num_rows]:
+            table = pa.Table.from_batches(own)
+            yield pa.RecordBatch.from_arrays(list(pairs(table, table.column("gap").to_numpy())), ["a", "b"])
+
+    kinds = ", ".join(f"{c} {k}" for c, k in (("key", "binary"), ("id", ID), ("n", "long"), ("sig", "binary"), ("known", "long")))
+    out = scratch.save(rows.mapInArrow(run, f"a {ID}, b {ID}, {kinds}, gap boolean"), name)
+    # 2 * region rows a task of the range exchange, in one task: bounded by the shuffle partitions.
+    borders = out.where("key is not null").select(*row_names, "gap").repartition(1).sortWithinPartitions("key", "id")
+    out = out.where("a is not null").select("a", "b").unionByName(borders.mapInArrow(across, f"a {ID}, b {ID}"))
     return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct()
 
 
@@ -285,13 +324,13 @@ def near_dedup(docs: DataFrame, *, words: int = 5, percent: int = 80, trees: int
     spark = docs.sparkSession
     small_batches(spark)
     scratch = scratch or Scratch(spark, "near-dedup")
-    docs = with_uid(docs).select(F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"), "uid.f", "uid.r").alias("id"), "text")
+    docs = with_uid(docs.select("doc_id", "text"), scratch=scratch).select(F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"), "uid.f", "uid.r").alias("id"), "text")
     rows = scratch.save(_sets(docs, words, trees, depth, seed), "rows")
-    classes = scratch.save(rows.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("id").alias("class")), "classes")
+    classes = scratch.save(rows.where("n > 0").groupBy("digest").agg(F.min("id").alias("class")), "classes")
     firsts = rows.join(classes.select(F.col("class").alias("id")).hint("merge"), "id", "left_semi").select("id", "n", "sig", "paths")
     firsts = scratch.save(firsts, "firsts")
     whole = min(whole, depth)
-    how = {"depth": depth, "region": region, "threshold": percent / 100, "whole": whole}
+    how = {"depth": depth, "region": region, "threshold": percent / 100, "whole": whole, "scratch": scratch}
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -315,7 +354,7 @@ def near_dedup(docs: DataFrame, *, words: int = 5, percent: int = 80, trees: int
 
     # What is likely alike in the first trees is linked first; what is linked already is no candidate in all trees.
     first = range(min(first_trees, trees))
-    early = scratch.save(candidates(firsts.withColumn("known", F.xxhash64("id")), which=first, near=False, **how), "early")
+    early = scratch.save(candidates(firsts.withColumn("known", F.xxhash64("id")), which=first, near=False, name="met1", **how), "early")
     linked = components(links(early, "1"), scratch)
     known = firsts.join(linked.select(F.col("node").alias("id"), "root"), "id", "left")
     known = scratch.save(known.withColumn("known", F.xxhash64(F.coalesce("root", "id"))).drop("root"), "known")
@@ -323,13 +362,13 @@ def near_dedup(docs: DataFrame, *, words: int = 5, percent: int = 80, trees: int
     members = scratch.save(dense_members(known, trees=trees, depth=depth, region=region, whole=whole), "members")
     dense = scratch.save(dense_links(members, full_sets(members.select("id"), "-dense"), percent), "dense")
     scratch.drop("members", "asked-dense", "full-dense")
-    late = candidates(known, which=range(trees), near=True, **how).join(early, ["a", "b"], "left_anti")
+    late = candidates(known, which=range(trees), near=True, name="met2", **how).join(early, ["a", "b"], "left_anti")
     more = links(scratch.save(late, "late"), "2")
     roots = components(more.unionByName(dense).unionByName(linked.select(F.col("node").alias("a"), F.col("root").alias("b"))), scratch)
-    scratch.drop("known", "dense", "early", "late", "links1", "links2")
+    scratch.drop("known", "dense", "early", "late", "met1", "met2", "links1", "links2")
 
     named = classes.join(roots.select(F.col("node").alias("class"), "root"), "class", "left")
-    named = scratch.save(named.select("n", "h1", "h2", F.coalesce("root", "class").alias("root")), "named")
-    out = rows.select("id", "n", "h1", "h2").join(named, ["n", "h1", "h2"], "left").withColumn("root", F.coalesce("root", "id"))
+    named = scratch.save(named.select("digest", F.coalesce("root", "class").alias("root")), "named")
+    out = rows.select("id", "n", "digest").join(named, "digest", "left").withColumn("root", F.coalesce("root", "id"))
     real = lambda x: F.when(x != NO_ID, x)
     return out.select(F.struct("id.f", "id.r").alias("uid"), real(F.col("id.d")).alias("doc_id"), F.col("n").alias("n_shingles"), real(F.col("root.d")).alias("component_id"), (F.col("id") == F.col("root")).alias("first"))

@@ -168,7 +168,7 @@ def test_all_that_may_be_near_is_asked(spark):
     row = lambda i, sig: ((i, 0, i), 100, bytearray(sig), bytearray(4 * 8 * 16), i)
     rows = [*(row(i, bytes(128)) for i in range(3)), row(3, bytes(80) + b"x" * 48)]  # 80 of 128: a pair at 0.8 can be so low
     df = spark.createDataFrame(rows, f"id {near_dedup.ID}, n long, sig binary, paths binary, known long")
-    got = near_dedup.candidates(df, which=range(16), near=True, depth=8, region=96, threshold=0.8, whole=3).collect()
+    got = near_dedup.candidates(df, which=range(16), near=True, depth=8, region=96, threshold=0.8, whole=3, scratch=Scratch(spark, "t"), name="met").collect()
     assert {(r["a"]["d"], r["b"]["d"]) for r in got} == {(a, b) for b in range(4) for a in range(b)}
 
 
