@@ -5,11 +5,14 @@ roots. One linear SVM a family (one against the rest) picks the family; within i
 SVM, and the language with most votes wins (ties: larger sum of margins, then the smaller name). All SVMs minimise the
 squared hinge loss with an L2 penalty by accelerated gradient steps on the driver.
 
-They learn from a bounded sample of labelled rows: about ``per_language`` documents of each language, by hash of
-doc_id, as trigram counts made on the executors from whole texts. Languages outside FAMILIES are a family of their own.
-
-A text that is null or has no letter is ``und`` with score 0; so is every text if no labelled row exists. Repeated rows
-are judged alike. A null doc_id is not held out and not learned from. Extra columns are ignored.
+They learn from a bounded sample of labelled rows: about ``per_language`` documents of each language, and not many more
+than ``most_rows`` of all, by hash of doc_id, of the ``most_languages`` that most documents have. The driver gets them as
+sparse counts, made on the executors from whole texts. Languages outside FAMILIES are a family of their own. Texts are
+judged a batch at a time, by one product with the weights of all families and pairs.
+
+A text that is null or has no letter is ``und`` with score 0; so is every text if no labelled row exists. A text of any
+length is read whole. Repeated rows are judged alike. A null doc_id is not held out and not learned from. Extra columns,
+of whatever names, are kept in ``row``. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -58,98 +61,123 @@ def unit(counts: np.ndarray) -> np.ndarray:
 
 
 def svm(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, steps: int = 150) -> tuple[np.ndarray, float]:
-    """Weights and offset of a linear SVM; y is 1 or -1, both sides weigh alike."""
-    x = np.concatenate([x, np.ones((len(x), 1), x.dtype)], 1)
+    """Weights and offset of a linear SVM; y is 1 or -1, both sides weigh alike, rows of x are unit vectors."""
     side = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y <= 0).sum())).astype(np.float32)
-    w = np.zeros(x.shape[1], np.float32)
-    ahead, rate = w.copy(), 1 / (2 * 2 + penalty)  # rows have a squared length of 2
+    w = np.zeros(x.shape[1] + 1, np.float32)  # the offset last
+    ahead, rate = w.copy(), 1 / (2 * 2 + penalty)
     for i in range(steps):
-        slack = np.maximum(0, 1 - y * (x @ ahead))
-        new = ahead - rate * (penalty * ahead - 2 * (x.T @ (side * y * slack)))
+        pull = side * y * np.maximum(0, 1 - y * (x @ ahead[:-1] + ahead[-1]))
+        new = ahead - rate * (penalty * ahead - 2 * np.append(pull @ x, pull.sum()))
         w, ahead = new, new + i / (i + 3) * (new - w)
     return w[:-1], float(w[-1])
 
 
+def _sure(margin: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-4 * margin))
+
+
 class Model:
+    """Weights of families, then of the pairs of languages within them, as rows of one matrix."""
+
     def __init__(self, x: np.ndarray, langs: list[str]):
         own = np.array(langs)
         self.langs = sorted(set(langs))
         self.families = sorted({family(v) for v in self.langs})
+        self.own = {f: [v for v in self.langs if family(v) == f] for f in self.families}
+        self.pairs = [(a, b) for f in self.families for a, b in combinations(self.own[f], 2)]
         of = np.array([family(v) for v in langs])
         sign = lambda m: np.where(m, 1, -1).astype(np.float32)
-        self.by_family = {f: svm(x, sign(of == f)) for f in self.families} if len(self.families) > 1 else {}
-        self.pairs = {}
-        for f in self.families:
-            for a, b in combinations([v for v in self.langs if family(v) == f], 2):
-                m = (own == a) | (own == b)
-                self.pairs[a, b] = svm(x[m], sign(own[m] == a))
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        if text is None or not self.langs or not _LETTER.search(text):
-            return "und", 0.0
-        x = unit(trigram_counts(text))
-        margin = lambda m: float(x @ m[0]) + m[1]
-        sure = lambda v: 1 / (1 + np.exp(-4 * v))
-        if self.by_family:
-            got = {f: margin(m) for f, m in self.by_family.items()}
-            best = min(got, key=lambda f: (-got[f], f))
-            score = float(sure(got[best] - max(v for f, v in got.items() if f != best)))
+        found = [svm(x, sign(of == f)) for f in self.families] if len(self.families) > 1 else []
+        for a, b in self.pairs:
+            m = (own == a) | (own == b)
+            found.append(svm(x[m], sign(own[m] == a)))
+        self.weights = np.array([w for w, _ in found], np.float32).reshape(len(found), x.shape[1])
+        self.offsets = np.array([b for _, b in found], np.float32)
+
+    def predict(self, texts: list[str | None], batch: int = 256) -> list[tuple[str, float]]:
+        out: list[tuple[str, float]] = [("und", 0.0)] * len(texts)
+        use = [i for i, t in enumerate(texts) if t is not None and self.langs and _LETTER.search(t)]
+        for a in range(0, len(use), batch):
+            rows = use[a : a + batch]
+            margins = np.stack([unit(trigram_counts(texts[i])) for i in rows]) @ self.weights.T + self.offsets
+            for i, got in zip(rows, self._judge(margins.astype(float)), strict=True):
+                out[i] = got
+        return out
+
+    def _judge(self, margins: np.ndarray) -> list[tuple[str, float]]:
+        n = len(self.families) if len(self.families) > 1 else 0
+        if n:
+            best = margins[:, :n].argmax(1)  # of equal ones the smaller name
+            two = np.sort(margins[:, :n], axis=1)[:, -2:]
+            score = _sure(two[:, 1] - two[:, 0])
         else:
-            best, score = self.families[0], 1.0
-        own = [v for v in self.langs if family(v) == best]
-        votes = {v: [0, 0.0, 1.0] for v in own}
-        for a, b in combinations(own, 2):
-            v = margin(self.pairs[a, b])
-            votes[a if v > 0 else b][0] += 1
-            for lang, m in ((a, v), (b, -v)):
-                votes[lang][1] += m
-                votes[lang][2] = min(votes[lang][2], float(sure(m)))
-        lang = min(own, key=lambda v: (-votes[v][0], -votes[v][1], v))
-        return lang, score * votes[lang][2]
+            best, score = np.zeros(len(margins), int), np.ones(len(margins))
+        out = []
+        for f, s, row in zip(best.tolist(), score.tolist(), margins, strict=True):
+            own = self.own[self.families[f]]
+            votes = {v: [0, 0.0, 1.0] for v in own}
+            for k, (a, b) in enumerate(self.pairs):
+                if a in votes:
+                    m = float(row[n + k])
+                    votes[a if m > 0 else b][0] += 1
+                    for lang, x in ((a, m), (b, -m)):
+                        votes[lang][1] += x
+                        votes[lang][2] = min(votes[lang][2], float(_sure(x)))
+            lang = min(own, key=lambda v: (-votes[v][0], -votes[v][1], v))
+            out.append((lang, s * votes[lang][2]))
+        return out
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, *, per_language: int = 500) -> Model:
-    """Learn from rows that are not held out and have text and lang. The sample is per_language of each on average."""
+def fit(docs: DataFrame, *, per_language: int = 500, most_rows: int = 6000, most_languages: int = 500) -> Model:
+    """Learn from rows that are not held out and have text and lang; see the module's bounds on the sample."""
     small_batches(docs.sparkSession)
-    rows = docs.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    none = Model(np.zeros((0, DIMS), np.float32), [])
+    rows = docs.select("doc_id", "lang", "text")
+    rows = rows.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()
     if not sizes:
-        return Model(np.zeros((0, DIMS), np.float32), [])
-    scale = 1 << 30
-    limit = F.element_at(F.create_map(*[F.lit(v) for k, n in sizes.items() for v in (k, min(scale, scale * per_language // n))]), F.col("lang"))
-    rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(scale)) < limit)
+        return none
+    share, scale = min(per_language, max(1, most_rows // len(sizes))), 1 << 30
+    limits = [F.lit(v) for r in sizes for v in (r["lang"], min(scale, scale * share // r["n"]))]
+    rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(scale)) < F.element_at(F.create_map(*limits), F.col("lang")))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [(lang, np.sqrt(trigram_counts(t)).astype("<f2").tobytes()) for lang, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if _LETTER.search(t)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in own], pa.string()), pa.array([x[1] for x in own], pa.binary())], ["lang", "x"])
-
-    got = sorted((r["lang"], bytes(r["x"])) for r in rows.select("lang", "text").mapInArrow(features, "lang string, x binary").collect())
+            own = []
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if _LETTER.search(text):
+                    counts = trigram_counts(text)
+                    at = np.flatnonzero(counts)
+                    own.append((lang, at.astype("<u2").tobytes(), np.sqrt(counts[at]).astype("<f4").tobytes()))
+            cols = zip(*own, strict=True) if own else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.binary(), pa.binary()), strict=True)], ["lang", "at", "x"])
+
+    got = sorted((r["lang"], bytes(r["at"]), bytes(r["x"])) for r in rows.select("lang", "text").mapInArrow(features, "lang string, at binary, x binary").collect())
     if not got:
-        return Model(np.zeros((0, DIMS), np.float32), [])
-    x, langs = np.empty((len(got), DIMS), np.float32), [v for v, _ in got]
-    for i in range(len(got)):
-        x[i], got[i] = np.frombuffer(got[i][1], "<f2"), None  # a row at a time, so that the sample is held once
-        x[i] /= max(1e-9, float(np.sqrt((x[i] * x[i]).sum())))
-    return Model(x, langs)
+        return none
+    x = np.zeros((len(got), DIMS), np.float32)
+    for own, (_, at, values) in zip(x, got, strict=True):
+        own[np.frombuffer(at, "<u2")] = np.frombuffer(values, "<f4")
+    x /= np.maximum(1e-9, np.sqrt(np.einsum("ij,ij->i", x, x)))[:, None]
+    return Model(x, [v for v, _, _ in got])
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with a struct ``langid`` of lang_pred and score."""
+    """Each document as a struct ``row``, and a struct ``langid`` of lang_pred and score."""
     small_batches(docs.sparkSession)
     predict = F.pandas_udf(_predictor(model), "lang_pred string, score double")
-    return docs.withColumn("langid", predict(F.col("text")))
+    return docs.select(F.struct("*").alias("row"), predict(F.col("text")).alias("langid"))
 
 
 def _predictor(model: Model) -> Callable:
     import pandas as pd
 
     def run(texts: pd.Series) -> pd.DataFrame:
-        own = [model.predict(t) for t in texts]
+        own = model.predict([None if t is None else t for t in texts])
         return pd.DataFrame({"lang_pred": [x[0] for x in own], "score": [x[1] for x in own]})
 
     run.__annotations__ = {"texts": pd.Series, "return": pd.DataFrame}

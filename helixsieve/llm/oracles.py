@@ -44,16 +44,18 @@ WITH r AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, str
 q AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
 f AS (SELECT *, {_rules()} AS fit FROM q),
 o AS (SELECT doc_id, max(CASE WHEN toxic = 1 OR quality = 0 THEN 1 WHEN toxic IS NOT NULL AND quality IS NOT NULL THEN 0 END) AS bad FROM labels GROUP BY doc_id),
-h AS (SELECT host, regexp_extract(host, '([^.]*\.)?[^.]*$') AS domain, regexp_extract(host, '[^.]*$') AS suffix, count(bad) AS n, coalesce(sum(bad), 0) AS b FROM f LEFT JOIN o ON o.doc_id = f.page_id GROUP BY ALL),
+a AS (SELECT *, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS site FROM f),
+h AS (SELECT site, CASE WHEN ip THEN site ELSE regexp_extract(site, '([^.]*\.)?[^.]*$') END AS domain, CASE WHEN ip THEN site ELSE regexp_extract(site, '[^.]*$') END AS suffix, n, b FROM (
+SELECT site, regexp_full_match(site, '[0-9]{{1,3}}(\.[0-9]{{1,3}}){{3}}') AS ip, count(bad) AS n, coalesce(sum(bad), 0) AS b FROM a LEFT JOIN o ON o.doc_id = a.page_id GROUP BY ALL) y),
 d AS (SELECT domain, suffix, sum(n) AS n, sum(b) AS b FROM h GROUP BY ALL),
 s AS (SELECT suffix, sum(n) AS n, sum(b) AS b FROM d GROUP BY ALL),
 {_strength('s', 'k0')}, {_strength('d', 'k1')}, {_strength('h', 'k2')},
 sr AS (SELECT suffix, (b + k * overall) / (n + k) AS rate FROM s, k0),
 dr AS (SELECT domain, (b + k * rate) / (n + k) AS rate FROM d JOIN sr USING (suffix), k1),
-hr AS (SELECT host, n, k, (b + k * rate) / (n + k) AS rate FROM h JOIN dr USING (domain), k2)
-SELECT page_id, f.host, path, nullif(regexp_replace(fit, '^[a-z]* ', ''), '') AS rule,
+hr AS (SELECT site, n, k, (b + k * rate) / (n + k) AS rate FROM h JOIN dr USING (domain), k2)
+SELECT page_id, host, path, nullif(regexp_replace(fit, '^[a-z]* ', ''), '') AS rule,
 coalesce(split_part(fit, ' ', 1), CASE WHEN rate - 1.645 * sqrt(rate * (1 - rate) / (n + k + 1)) >= 0.5 THEN 'block' ELSE 'allow' END) AS verdict
-FROM f JOIN hr ON hr.host = f.host
+FROM a JOIN hr ON hr.site = a.site
 """
 
 OP4 = """

@@ -21,7 +21,7 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = langid.identify(docs.select("doc_id", "text"), langid.fit(docs))
-    return out.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "langid.lang_pred", "langid.score")
+    return out.select("row.doc_id", langid.held_out(F.col("row.doc_id")).alias("held_out"), "langid.lang_pred", "langid.score")
 
 
 def op2_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,10 +7,11 @@ Each level's bad rate is shrunk towards its parent's by a beta-binomial prior wh
 own over-dispersion (method of moments). A host is blocked if the lower bound of its posterior bad rate,
 ``mean - z * sd``, reaches ``cut``; a host without outcomes inherits its domain's, suffix's or the overall rate.
 
-A null url, or one without ``://``, has empty host and path, and is judged as the empty host. Hosts that are alike but
+For reputation, though not in what is returned, a host is taken without user and port, and an IPv4 address is its own
+domain and suffix. A null url, or one without ``://``, has empty host and path, and is judged as the empty host. Hosts that are alike but
 for A-Z in upper case are one. Of rules of equal length, block wins. A repeated row is judged as often as it occurs; of
-several outcomes of one page, bad wins; null outcomes don't count. Empty tables give an empty result, and without
-outcomes the rules alone block.
+several outcomes of one page, bad wins; null outcomes don't count. A url of any length is split whole. Empty tables
+give an empty result, and without outcomes the rules alone block.
 """
 
 from __future__ import annotations
@@ -37,12 +38,19 @@ def split_url(url: Column) -> tuple[Column, Column]:
 
 def match_rules(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -> Column:
     """A struct of the longest fitting rule and its verdict, or null."""
+    if not rules:
+        return F.lit(None).cast("struct<rule:string,verdict:string>")
     out = F
     for verdict, h, p in sorted(rules, key=lambda r: (-len(r[1] + r[2]), r[0] != "block", -len(r[1]))):
         out = out.when(((host == h) | F.endswith(host, F.lit("." + h))) & F.startswith(path, F.lit(p)), F.struct(F.lit(h + p).alias("rule"), F.lit(verdict).alias("verdict")))
     return out
 
 
+def site(host: Column) -> Column:
+    """A host without user and port."""
+    return F.regexp_replace(F.regexp_replace(host, "^.*@", ""), ":[0-9]*$", "")
+
+
 def _strength(level: DataFrame, name: str) -> DataFrame:
     """One row: the level's prior strength, as a count of outcomes between 1 and 1000 (10 if there is nothing to tell it
     by), and the overall bad rate under a weak prior of one in ten."""
@@ -58,7 +66,9 @@ def _strength(level: DataFrame, name: str) -> DataFrame:
 def host_reputation(hosts: DataFrame, *, z: float, cut: float, suffixes: Sequence[str] = ()) -> DataFrame:
     """From (host, n outcomes, b bad ones): host, rate, bound and verdict."""
     last = "|".join([*map(re.escape, sorted(suffixes)), "[^.]*"])
-    hosts = hosts.withColumn("domain", F.regexp_extract("host", rf"([^.]*\.)?({last})$", 0)).withColumn("suffix", F.regexp_extract("host", rf"(?:^|\.)({last})$", 1))
+    address = F.col("host").rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$")
+    domain, suffix = F.regexp_extract("host", rf"([^.]*\.)?({last})$", 0), F.regexp_extract("host", rf"(?:^|\.)({last})$", 1)
+    hosts = hosts.withColumns({"domain": F.when(address, F.col("host")).otherwise(domain), "suffix": F.when(address, F.col("host")).otherwise(suffix)})
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
     by_suffix = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
     k = [_strength(level, f"k{i}").first() for i, level in enumerate((by_suffix, domains, hosts))]
@@ -77,12 +87,12 @@ def filter_urls(pages: DataFrame, outcomes: DataFrame, *, rules: Sequence[tuple[
     scratch = scratch or Scratch(pages.sparkSession, "urls")
     host, path = split_url(F.coalesce("url", F.lit("")))
     parts = pages.select("page_id", host.alias("host"), path.alias("path"))
-    parts = parts.withColumn("fits", match_rules(F.col("host"), F.col("path"), rules)).select("page_id", "host", "path", "fits.rule", "fits.verdict")
+    parts = parts.withColumn("fits", match_rules(F.col("host"), F.col("path"), rules)).select("page_id", "host", "path", site(F.col("host")).alias("site"), "fits.rule", "fits.verdict")
     parts = scratch.save(parts, "parts")
     known = outcomes.where("bad is not null").groupBy("page_id").agg(F.max(F.col("bad").cast("long")).alias("bad"))
-    counted = parts.join(known, "page_id", "left").groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("b"))
-    hosts = scratch.save(counted, "hosts")
-    judged = scratch.save(host_reputation(hosts, z=z, cut=cut, suffixes=suffixes), "judged")
+    counted = parts.join(known, "page_id", "left").groupBy("site").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("b"))
+    sites = scratch.save(counted.withColumnRenamed("site", "host"), "sites")
+    judged = scratch.save(host_reputation(sites, z=z, cut=cut, suffixes=suffixes).withColumnRenamed("host", "site"), "judged")
     # Both sides are scans, so that adaptive execution can split a hot host.
-    out = parts.join(judged, "host")
+    out = parts.join(judged, "site")
     return out.select("page_id", "host", "path", "rule", F.coalesce("verdict", "host_verdict").alias("verdict"), "rate", "bound")
