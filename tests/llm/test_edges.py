@@ -1,28 +1,29 @@
 """Every operator and stage: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
 
 import corpus_pipeline
+import numpy as np
 import pytest
 
 from helixsieve.llm import exact_dedup, langid, mixing, near_dedup, packing, sharding, substring_dedup, topk, url_reputation, warc
 from helixsieve.llm.common import Scratch
 from helixsieve.llm.queries import tokenizer_path
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, uid string, size int, row string, finish string"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, uid string, size int, row string, finish string, langid string"
 EN, DE, FR = "the and of that with this for there", "der und die nicht mit sich auch einer", "le la les des une que pour dans"
 LONG = " ".join(f"w{i}" for i in range(150_000))
 ROWS = [
-    (1, EN, "en", "a", 5, "x", 1, "r", "f"),
-    (2, EN + " ", "en", "a", 5, "x", 1, "r", "f"),
-    (2, EN + " ", "en", "a", 5, "x", 1, "r", "f"),
-    (3, DE, "de", None, None, None, None, None, None),
-    (4, None, None, "b", None, None, None, None, None),
-    (5, "", "fr", "b", 0, None, None, None, None),
-    (6, " \n\t", "fr", None, 3, None, None, None, None),
-    (7, FR, "fr", "c", 3, None, None, None, None),
-    (None, FR, None, "c", 3, None, None, None, None),
-    (8, LONG, "en", "c", len(LONG), None, None, None, None),
-    (9, "### 123 $$$", None, "d", 11, None, None, None, None),
-    (10, "Σ naïve \U0001f600 text " + DE, "de", "d", 1, None, None, None, None),
+    (1, EN, "en", "a", 5, "x", 1, "r", "f", None),
+    (2, EN + " ", "en", "a", 5, "x", 1, "r", "f", None),
+    (2, EN + " ", "en", "a", 5, "x", 1, "r", "f", None),
+    (3, DE, "de", None, None, None, None, None, None, None),
+    (4, None, None, "b", None, None, None, None, None, None),
+    (5, "", "fr", "b", 0, None, None, None, None, None),
+    (6, " \n\t", "fr", None, 3, None, None, None, None, None),
+    (7, FR, "fr", "c", 3, None, None, None, None, None),
+    (None, FR, None, "c", 3, None, None, None, None, None),
+    (8, LONG, "en", "c", len(LONG), None, None, None, None, None),
+    (9, "### 123 $$$", None, "d", 11, None, None, None, None, None),
+    (10, "Σ naïve \U0001f600 text " + DE, "de", "d", 1, None, None, None, None, None),
 ]
 
 
@@ -35,6 +36,40 @@ def docs(request, spark, tmp_path):
     return df
 
 
+@pytest.fixture(params=["joined", "shuffled", "fanned out", "generated"])
+def unscanned(request, spark, tmp_path):
+    """50 texts, three rows of each: frames that are more than a scan of files."""
+    spark.createDataFrame([(i, f"text number {i} of these fifty texts in all") for i in range(50)], "doc_id long, text string").write.parquet(str(tmp_path / "u"))
+    one, three = spark.read.parquet(str(tmp_path / "u")), spark.range(3).withColumnRenamed("id", "copy")
+    if request.param == "joined":
+        return one.join(three)
+    if request.param == "shuffled":
+        return one.join(three).repartition(7)
+    if request.param == "fanned out":
+        return one.selectExpr("*", "explode(array(1, 2, 3)) as copy")
+    return spark.range(150).selectExpr("id % 50 as doc_id", "concat('text number ', id % 50, ' of these fifty texts in all') as text")
+
+
+def test_rows_that_are_no_scan(spark, unscanned):
+    rows = exact_dedup.exact_dedup(unscanned).collect()
+    assert len(rows) == 150 and all(r["group_size"] == 3 for r in rows)
+    assert sorted(r["doc_id"] for r in rows if r["kept"]) == list(range(50))
+    rows = near_dedup.near_dedup(unscanned, words=2).collect()
+    assert len(rows) == 150 and len({r["uid"] for r in rows}) == 150
+    assert sorted(r["doc_id"] for r in rows if r["first"]) == list(range(50))
+    assert [r["n_removed"] for r in substring_dedup.remove_repeats(unscanned, window=4, gram=2).collect()] == [9] * 150
+    rows = sharding.shard_by_bytes(unscanned, shards=7).collect()
+    assert len({(r["shard"], r["slot"]) for r in rows}) == 150
+    scratch = Scratch(spark, "t")
+    warc.write_arc(unscanned.selectExpr("doc_id as page_id", "null as url", "text as html"), scratch.path("arc"))
+    warc.convert_arc(spark, scratch.path("arc"), scratch.path("warc"), scratch=scratch)
+    rows = warc.read_warc(spark, scratch.path("warc")).collect()
+    assert sorted(r["page_id"] for r in rows if r["record_type"] == "response") == list(range(50)) and len(rows) == 150
+    assert all(r["refers_to"] == r["page_id"] for r in rows if r["record_type"] == "revisit")
+    for stage, n in ((corpus_pipeline.exact_duplicates, 50), (corpus_pipeline.near_duplicates, 50)):
+        assert stage(spark, unscanned, "").count() == n
+
+
 def by_id(df, *names):
     out = {}
     for r in df.collect():
@@ -43,7 +78,7 @@ def by_id(df, *names):
 
 
 def test_langid(docs):
-    got = by_id(langid.identify(docs, langid.fit(docs)).select("doc_id", "langid.lang_pred", "langid.score"), "lang_pred", "score")
+    got = by_id(langid.identify(docs, langid.fit(docs)).select("row.doc_id", "langid.lang_pred", "langid.score"), "lang_pred", "score")
     assert sum(map(len, got.values())) == docs.count()
     for i in (4, 5, 6, 9):
         assert got.get(i, [("und", 0.0)]) == [("und", 0.0)]
@@ -164,23 +199,29 @@ def test_warc(spark, rows):
 
 
 def test_topk(spark):
-    rows = [(i, [float(i % 7), 1.0, 0.5]) for i in range(60)] + [(60, None), (61, [None, 1.0, 2.0]), (62, [float("nan"), 1.0, 1.0]), (63, [float("inf"), 0.0, 0.0]), (None, [1.0, 1.0, 1.0]), (64, []), (65, [3.0]), (40, [1e30, 1.0, 1.0])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "'x' as score", "1 as block")
-    got = topk.top_k(df, df.where("vec_id % 20 = 0"), k=5, shard_rows=16, block_rows=2).where("query_id != 40").collect()
-    assert {r["query_id"] for r in got} == {0, 20}
-    whole = [(i, [int(64 * x) for x in ([*v, 0, 0, 0][:3])]) for i, v in rows if v is not None and i is not None and i not in (61, 62, 63) and v[:1] != [1e30]]
-    for q in (0, 20):
-        own = next(v for i, v in whole if i == q)
-        want = sorted(((-sum(a * b for a, b in zip(own, v)), i) for i, v in whole if i not in (q,)))
-        mine = [(r["rank"], r["vec_id"], r["score"]) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q]
-        assert [m[0] for m in mine] == [1, 2, 3, 4, 5]
-        if q:
-            assert mine[0][1] == 40  # the huge vector
-            assert [m[1:] for m in mine[1:]] == [(i, -s) for s, i in want[:4]]
+    rows = [(i, [float(i % 7), 1.0, 0.5]) for i in range(60)] + [(60, None), (61, [None, 1.0, 2.0]), (62, [float("nan"), 1.0, 1.0]), (63, [float("inf"), 0.0, 0.0]), (None, [1.0, 1.0, 1.0]), (64, []), (65, [3.0])]
+    rows += [(40, [1e30, 1.0, 1.0]), (140, [1e15, 1.0, 1.0]), (141, [-1e30, 0.0, 1.0]), (142, [1e30, 2.0, 1.0]), (7, [6.0, 1.0, 0.5]), (7, [6.0, 1.0, 0.5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "'x' as score", "1 as block", "'y' as uid")
+    out = lambda x: max(-(1 << 63), min((1 << 63) - 1, x))
+    f32 = lambda x: float(np.float32(x))
+    whole = [(i, [int(64 * f32(x)) for x in [*v, 0, 0, 0][:3]]) for i, v in rows if v is not None and i is not None and i not in (61, 62, 63)]
+    for shard_rows, block_rows in ((16, 2), (4096, 1 << 16)):
+        got = topk.top_k(df, df.where("vec_id % 20 = 0"), k=5, shard_rows=shard_rows, block_rows=block_rows).collect()
+        assert {r["query_id"] for r in got} == {0, 20, 40, 140}
+        for q in (0, 20, 40, 140):
+            own = min(v for i, v in whole if i == q)
+            want = sorted((-sum(a * b for a, b in zip(own, v, strict=True)), i) for i, v in whole if i != q)[:5]
+            assert [(r["rank"], r["vec_id"], r["score"]) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == [(n + 1, i, out(-s)) for n, (s, i) in enumerate(want)]
     empty = df.limit(0)
     assert topk.top_k(empty, empty).count() == 0
 
 
+def test_no_rules(spark):
+    pages = spark.createDataFrame(PAGE_ROWS, PAGES)
+    got = url_reputation.filter_urls(pages, spark.createDataFrame([], "page_id long, bad boolean"), rules=[]).collect()
+    assert len(got) == len(PAGE_ROWS) and all(r["rule"] is None and r["verdict"] == "allow" for r in got)
+
+
 def test_suffixes_of_several_labels(spark):
     hosts = spark.createDataFrame([("x.a.co.uk", 50, 50), ("y.a.co.uk", 0, 0), ("y.b.co.uk", 0, 0), ("c.co.uk", 50, 0), ("d.com", 50, 0)], "host string, n long, b long")
     rates = {r["host"]: r["rate"] for r in url_reputation.host_reputation(hosts, z=1.645, cut=0.5, suffixes=["co.uk"]).collect()}
