@@ -109,54 +109,78 @@ def contaminant_position(reads: np.ndarray, contams: Sequence[str], ratios: Sequ
     return out
 
 
-class _Score:
-    """The running score of a scan for a global contaminant; it lives on from offset to offset within a phase."""
+#: A scan for a global contaminant begins as if so many mismatches had been seen: a fixed value of the behaviour.
+SEEN = 5
 
-    def __init__(self, least: int, allowed: int):
-        self.least, self.floor = least, -200 * allowed
-        self.enough, self.total, self.columns = least - allowed + self.floor, -1000, 0
 
-    def open(self) -> bool:
-        return self.total > self.floor
+class _Extents:
+    """What each read of a matrix has of the contaminant while its columns are laid out one after another.
 
-    def add(self, same: bool) -> None:
-        self.total += 1 if same else -200
-        self.columns += 1
+    An extent begins at an equal column and takes every column after it, equal or not. It ends with one mismatch more
+    than allowed, or with as many as allowed and nothing equal yet, but not with the offset at which it began.
+    """
+
+    def __init__(self, n: int, allowed: int):
+        self.allowed = allowed
+        self.right, self.long = np.zeros(n, np.int32), np.zeros(n, np.int32)
+        self.wrong = np.full(n, SEEN, np.int32)
+
+    def inside(self) -> np.ndarray:
+        return (self.wrong < self.allowed) | ((self.wrong == self.allowed) & (self.right > 0))
+
+    def take(self, rows: np.ndarray, same: np.ndarray) -> None:
+        self.right[rows & same] += 1
+        self.wrong[rows & ~same] += 1
+        self.long[rows] += 1
 
-    def begin(self) -> None:
-        self.total, self.columns = 1, 1
+    def begin(self, rows: np.ndarray) -> None:
+        self.right[rows], self.long[rows], self.wrong[rows] = 1, 1, 0
 
-    def hit(self) -> bool:
-        return self.total >= self.enough and self.columns >= self.least
+    def reaches(self, least: int) -> np.ndarray:
+        """Whether an extent has ``least`` columns, of which all but the allowed ones are equal."""
+        return (self.long >= least) & ((self.wrong < self.allowed) | ((self.wrong == self.allowed) & (self.right >= least - self.allowed)))
 
+    def only(self, rows: np.ndarray) -> None:
+        self.right, self.long, self.wrong = self.right[rows], self.long[rows], self.wrong[rows]
 
-def global_position(read: str, contam: str, ratio: float, allowed: int) -> int:
-    """Place of a global contaminant: its end at the read's head, whole in the middle, its beginning at the tail.
 
-    The score of a stretch is not taken back between offsets, so the result depends on the order of the scan.
+def global_position(reads: np.ndarray, contam: str, ratio: float, allowed: int) -> np.ndarray:
+    """Place of a global contaminant in each read: its end at the head (0), whole in the middle, its beginning at the tail.
+
+    The three are sought in this order, each over its offsets in order. A hit is an extent of ``least`` columns. Between
+    extents an offset is left once fewer than ``least`` of its columns remain; at the tail an equal column there still
+    begins an extent, which goes on at the next offset. So what an offset finds depends on those before it.
     """
-    rl, cl = len(read), len(contam)
-    least = int(np.float32(cl) * np.float32(ratio))
-    heads = ((0, i, min(rl, cl - i), 0) for i in range(cl - least, -1, -1))
-    wholes = ((i, 0, cl, 1) for i in range(rl - cl + 1))
-    tails = ((rl - cl + i, 0, cl - i, 2) for i in range(max(0, cl - rl), cl - least + 1))
-    for phase in (heads, wholes, tails):
-        score = _Score(least, allowed)
-        for at, start, length, kind in phase:
+    n, size = reads.shape
+    own, out, todo = _bytes(contam), np.full(n, -1, np.int32), np.arange(n)
+    least = int(np.float32(len(own)) * np.float32(ratio))
+    head = [(0, skip, min(size, len(own) - skip)) for skip in range(len(own) - least, -1, -1)]
+    whole = [(at, 0, len(own)) for at in range(size - len(own) + 1)]
+    tail = [(at, 0, size - at) for at in range(max(0, size - len(own)), size - least + 1)]
+    for part in (head, whole, tail):
+        found = _Extents(len(todo), allowed)
+        for at, skip, length in part:
+            same = reads[todo, at : at + length] == own[skip : skip + length]
+            here = np.ones(len(todo), bool)  # reads that haven't left this offset
+            hit = np.full(len(todo), -1, np.int32)
             for j in range(length):
-                same = read[at + j] == contam[start + j]
-                short = length - j < least
-                if score.open():
-                    score.add(same)
-                elif same and (kind == 2 or not short):
-                    score.begin()
-                    if short:
-                        break
-                elif short:
+                few = length - j < least
+                inside, equal = found.inside() & here, same[:, j]
+                new = here & ~inside & equal if part is tail or not few else np.zeros(len(todo), bool)
+                found.take(inside, equal)
+                found.begin(new)
+                done = (inside | new) & found.reaches(least)
+                hit[done] = 0 if part is head else at + j - found.long[done] + 1
+                here &= ~done & (inside if few else True)
+                if not here.any():
                     break
-                if score.hit():
-                    return 0 if kind == 0 else at + j - score.columns + 1
-    return -1
+            if (hit >= 0).any() or (hit < -1).any():
+                out[todo[hit != -1]] = hit[hit != -1]
+                found.only(hit == -1)
+                todo = todo[hit == -1]
+            if not len(todo):
+                return out
+    return out
 
 
 _COMPLEMENT = str.maketrans("ACGTacgt", "TGCATGCA")
@@ -166,25 +190,30 @@ def reverse_complement(seq: str) -> str:
     return seq.translate(_COMPLEMENT).upper()[::-1]
 
 
-def global_positions(read: str, contams: Sequence[str], ratios: Sequence[float], allowed: Sequence[int], min_length: int | None) -> tuple[int, int]:
-    """5' and 3' place; at most one of them is set."""
+#: Complements of byte codes, lower-case letters as upper-case ones.
+_COMPLEMENT_BYTES = np.frombuffer(reverse_complement("".join(map(chr, range(128)))[::-1]).encode(), np.uint8)
+
 
-    def least(seq: str) -> int:
-        best = -1
+def global_positions(reads: np.ndarray, contams: Sequence[str], ratios: Sequence[float], allowed: Sequence[int], min_length: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """5' and 3' places of each read; at most one of a read is set."""
+
+    def least(rows: np.ndarray) -> np.ndarray:
+        out, going = np.full(len(rows), -1, np.int32), np.arange(len(rows))
         for c, r, m in zip(contams, ratios, allowed, strict=True):
-            both = [p for p in (global_position(seq, c, r, m), global_position(seq, reverse_complement(c), r, m)) if p >= 0]
-            if both:
-                best = min(both) if best < 0 else min(best, *both)
-                if min_length is not None and min(both) < min_length:
-                    break
-        return best
+            both = np.stack([global_position(rows[going], x, r, m) for x in (c, reverse_complement(c))])
+            got = np.where(both < 0, both.max(0), both).min(0)
+            better = (got >= 0) & ((out[going] < 0) | (got < out[going]))
+            out[going[better]] = got[better]
+            if min_length is not None:
+                going = going[(got < 0) | (got >= min_length)]
+        return out
 
-    five, three = least(read), -1
-    if 0 <= five <= len(read) // 2:
-        three = least(reverse_complement(read))
-    if five >= 0 and three >= 0:
-        return (-1, three) if five < three else (five, -1)
-    return five, three
+    five, three = least(reads), np.full(len(reads), -1, np.int32)
+    ask = (five >= 0) & (five <= reads.shape[1] // 2)
+    if ask.any():
+        three[ask] = least(_COMPLEMENT_BYTES[reads[ask]][:, ::-1])
+    both = (five >= 0) & (three >= 0)
+    return np.where(both & (five < three), -1, five), np.where(both & (five >= three), -1, three)
 
 
 def srna_three_prime(reads: np.ndarray, adapter: str, aligned: int, error: float, mismatches: int) -> np.ndarray:
@@ -226,24 +255,35 @@ def srna_five_prime(reads: np.ndarray, adapter: str, run: int, ratio: float) ->
     return out
 
 
-def overlap_length(seq1: str, seq2: str, least: int, mismatch: float) -> int:
-    """Longest L such that the last L bases of read 1 are the first L of read 2's reverse complement, or -1. N never matches."""
-    a, b = _bytes(seq1), _bytes(reverse_complement(seq2))
-    for n in range(min(len(a), len(b)), least - 1, -1):
-        x, y = a[len(a) - n :], b[:n]
-        if ((x != y) | (x == N)).sum() <= int(mismatch * n):
-            return n
-    return -1
+def overlap_length(one: np.ndarray, two: np.ndarray, least: int, mismatch: float) -> np.ndarray:
+    """For each pair the longest L such that the last L bases of read 1 are the first L of read 2's reverse complement, or
+    -1. N never matches."""
+    b = _COMPLEMENT_BYTES[two][:, ::-1]
+    out, todo = np.full(len(one), -1, np.int32), np.arange(len(one))
+    for n in range(min(one.shape[1], b.shape[1]), least - 1, -1):
+        x, y = one[todo, one.shape[1] - n :], b[todo, :n]
+        fits = ((x != y) | (x == N)).sum(1) <= int(mismatch * n)
+        out[todo[fits]] = n
+        todo = todo[~fits]
+    return out
+
+
+def _matrices(*columns: pd.Series) -> Iterator[tuple]:
+    """Rows of one length (of each column), and their reads as matrices; null and empty reads are left out."""
+    data = [[None if s is None else s.encode() for s in c] for c in columns]
+    sizes = np.array([[0 if s is None else len(s) for s in own] for own in data]).reshape(len(columns), -1)
+    kinds, of = np.unique(sizes, axis=1, return_inverse=True)
+    for k, size in enumerate(kinds.T.tolist()):
+        if all(size):
+            at = np.flatnonzero(of == k)
+            yield at, *(np.frombuffer(b"".join(own[i] for i in at), np.uint8).reshape(len(at), n) for own, n in zip(data, size, strict=True))
 
 
 def by_length(seqs: pd.Series, own: Callable[[np.ndarray], np.ndarray], empty) -> pd.Series:
     """Apply a function of equally long reads to reads of any length."""
     out = np.full(len(seqs), empty)
-    data = [None if s is None else s.encode() for s in seqs]
-    sizes = np.array([0 if s is None else len(s) for s in data])
-    for size in np.unique(sizes[sizes > 0]):
-        at = np.flatnonzero(sizes == size)
-        out[at] = own(np.frombuffer(b"".join(data[i] for i in at), np.uint8).reshape(len(at), size))
+    for at, reads in _matrices(seqs):
+        out[at] = own(reads)
     return pd.Series(out)
 
 
@@ -268,8 +308,10 @@ def contaminant_position_of(seq: Column, p: QCParams, mate: int) -> Column:
 
 def global_positions_of(seq: Column, p: QCParams) -> Column:
     def run(seqs: pd.Series) -> pd.DataFrame:
-        got = [global_positions(s, p.global_contams, p.global_ratios, p.global_mismatches, p.min_length) if s else (-1, -1) for s in seqs]
-        return pd.DataFrame(got, columns=["five", "three"])
+        out = pd.DataFrame({"five": np.full(len(seqs), -1), "three": np.full(len(seqs), -1)})
+        for at, reads in _matrices(seqs):
+            out.loc[at, "five"], out.loc[at, "three"] = global_positions(reads, p.global_contams, p.global_ratios, p.global_mismatches, p.min_length)
+        return out
 
     run.__annotations__ = {"seqs": pd.Series, "return": pd.DataFrame}
     return F.pandas_udf(run, "five int, three int")(seq)
@@ -287,7 +329,10 @@ def srna_five_prime_of(seq: Column, p: QCParams) -> Column:
 
 def overlap_of(seq1: Column, seq2: Column, p: QCParams) -> Column:
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([overlap_length(x, y, p.overlap or 0, p.overlap_mismatch) if x and y else -1 for x, y in zip(a, b, strict=True)])
+        out = np.full(len(a), -1)
+        for at, one, two in _matrices(a, b):
+            out[at] = overlap_length(one, two, p.overlap or 0, p.overlap_mismatch)
+        return pd.Series(out)
 
     run.__annotations__ = {"a": pd.Series, "b": pd.Series, "return": pd.Series}
     return F.pandas_udf(run, "int")(seq1, seq2)

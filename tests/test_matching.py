@@ -124,18 +124,62 @@ def test_small_rna(seed):
         assert M.srna_five_prime(matrix(rows), a, 6, 0.8).tolist() == [slow_five(r, a, 6, 0.8) for r in rows]
 
 
+def slow_global(read, c, ratio, allowed):
+    """Extents of one read, as spans of a stream of columns: (place, kept equal, kept unequal)."""
+    least = int(np.float32(len(c)) * np.float32(ratio))
+    head = [(0, len(c) - k) for k in range(least, len(c) + 1)]
+    whole = [(i, 0) for i in range(len(read) - len(c) + 1)]
+    tail = [(len(read) - k, 0) for k in range(min(len(c), len(read)), least - 1, -1)]
+    for part, offsets in (("head", head), ("whole", whole), ("tail", tail)):
+        equal, unequal = 0, 5
+        for at, skip in offsets:
+            cols = [r == x for r, x in zip(read[at:], c[skip:])]
+            for j, same in enumerate(cols):
+                few = len(cols) - j < least
+                leaves = False
+                if unequal < allowed or (unequal == allowed and equal):
+                    equal, unequal = equal + same, unequal + (not same)
+                elif same and (part == "tail" or not few):
+                    equal, unequal, leaves = 1, 0, few
+                else:
+                    if few:
+                        break
+                    continue
+                if equal + unequal >= least and slow_reaches(equal, unequal, least, allowed):
+                    return 0 if part == "head" else at + j - (equal + unequal) + 1
+                if leaves:
+                    break
+    return -1
+
+
+def slow_reaches(equal, unequal, least, allowed):
+    return unequal < allowed or (unequal == allowed and equal >= least - allowed)
+
+
 def test_global_contaminants():
     c = "ACGGTTCAGCATTGCA"
     pad = "T" * 30
-    assert M.global_position(pad + c + pad, c, 0.5, 0) == 30
-    assert M.global_position(c[6:] + pad, c, 0.5, 0) == 0
-    assert M.global_position(pad + c[:10], c, 0.5, 0) in (29, 30)  # the score lives on from the offset before
-    assert M.global_position(pad, c, 0.5, 0) == -1
-    assert M.global_positions(pad + M.reverse_complement(c) + pad * 2, [c], [0.9], [0], None) == (-1, 60)  # the smaller place is dropped
+    place = lambda read: M.global_position(matrix([read]), c, 0.5, 0).tolist()[0]
+    assert place(pad + c + pad) == 30
+    assert place(c[6:] + pad) == 0
+    assert place(pad + c[:10]) in (29, 30)  # an extent goes on from the offset before
+    assert place(pad) == -1
+    five, three = M.global_positions(matrix([pad + M.reverse_complement(c) + pad * 2]), [c], [0.9], [0], None)
+    assert (five.tolist(), three.tolist()) == ([-1], [60])  # the smaller place is dropped
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_global_contaminants_in_random_reads(seed):
+    rng = random.Random(seed)
+    patterns = ["".join(rng.choice("ACGT") for _ in range(k)) for k in (9, 16, 32)]
+    rows = reads(rng, patterns, size=rng.choice([12, 30, 48]))
+    for p in patterns:
+        for ratio, allowed in ((0.5, 1), (0.8, 0), (0.4, 3)):
+            assert M.global_position(matrix(rows), p, ratio, allowed).tolist() == [slow_global(r, p, ratio, allowed) for r in rows]
 
 
 def test_overlap():
     insert = "ACGTTGCAAGCTTACGGATCCATTGCAAC"
     one, two = "GGGG" + insert, M.reverse_complement(insert + "TTTT")
-    assert M.overlap_length(one, two, 20, 0.0) == len(insert)
-    assert M.overlap_length("A" * 30, "A" * 30, 20, 0.1) == -1
+    assert M.overlap_length(matrix([one]), matrix([two]), 20, 0.0).tolist() == [len(insert)]
+    assert M.overlap_length(matrix(["A" * 30]), matrix(["A" * 30]), 20, 0.1).tolist() == [-1]
