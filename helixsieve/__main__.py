@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import argparse
+import sys
 from dataclasses import replace
 
 from pyspark.sql import SparkSession
 
+from helixsieve.operators.reports import phred_check
 from helixsieve.params import MODULES, QCParams, parse_config, read_adapters
 from helixsieve.plans.modules import filter_alignments, filter_barcoded, filter_reads
 from helixsieve.plans.output import write_report, write_run
@@ -55,10 +57,15 @@ def main(args: list[str] | None = None) -> None:
     spark = SparkSession.builder.appName("helixsieve").getOrCreate()
     p = settings(spark, a)
     if a.module == "filterHts":
-        records = (alignments.read_bam if a.first.endswith(".bam") else alignments.read_sam)(spark, a.first)
+        binary = a.first.endswith(".bam")
+        records = (alignments.read_bam if binary else alignments.read_sam)(spark, a.first)
+        header = (alignments.read_bam_header if binary else alignments.read_header)(spark, a.first)
         first = records.orderBy("ord").first()  # its paired flag decides, as for the whole file
         marked, rejected = filter_alignments(records, replace(p, paired=bool(first and first["flag"] & 1)))
-        alignments.write_sam(marked, f"{a.folder}/marked.sam")
+        if binary:
+            alignments.write_bam(marked, f"{a.folder}/marked.bam", header=header)
+        else:
+            alignments.write_sam(marked, f"{a.folder}/marked.sam", header=header)
         rejected.write.mode("overwrite").text(f"{a.folder}/rejected")
         return
     if "inputAsList" in p.extra:
@@ -67,6 +74,8 @@ def main(args: list[str] | None = None) -> None:
         reads = fastq.read_pairs(spark, a.first, a.second)
     else:
         reads = fastq.read_fastq(spark, a.first)
+    if phred_check(reads, p) < 0:
+        print(f"qualities look more like Phred+{97 - p.phred_in} than Phred+{p.phred_in}", file=sys.stderr)
     if a.module == "filterStLFR":
         run, stats = filter_barcoded(reads, fastq.read_barcodes(spark, p.extra["barcodeListPath"]), p)
         write_report(stats, f"{a.folder}/report_barcodes")

@@ -39,14 +39,14 @@ FROM (SELECT ord, k, '@FCD1PB1ACXX:4:' || CAST(1101 + ord % 8 AS STRING) || ':'
 """
 
 #: Barcodes of 10 bases, numbered, from the keys of ``part``.
-BARCODES = "SELECT substr(translate(md5(CAST(p_partkey AS STRING) || '|barcode'), '0123456789abcdef', 'ACGTACGTACGTACGT'), 1, 10) AS barcode, CAST(p_partkey AS INT) AS barcode_id FROM part WHERE p_partkey BETWEEN 1 AND 64"
+BARCODES = "SELECT substr(translate(md5(CAST(p_partkey AS STRING) || '|barcode'), '0123456789abcdef', 'ACGTACGTACGTACGT'), 1, 10) AS barcode, CAST(p_partkey AS INT) AS barcode_id FROM part"
 #: Barcoded pairs: read 2 has 142 bases, the segments at 101, 117 and 133; some have one wrong base, some are none.
 BARCODED = f"""
 SELECT r.ord, r.id1, r.seq1, r.qual1, r.id2,
        substr(r.seq2 || r.seq2, 1, 100) || CASE WHEN r.ord % 7 = 0 THEN 'T' || substr(a.barcode, 2) WHEN r.ord % 11 = 0 THEN 'NNNNNNNNNN' ELSE a.barcode END
          || 'ACGTCA' || b.barcode || 'GTCAGT' || c.barcode AS seq2,
        repeat('F', 142) AS qual2
-FROM ({READS}) r JOIN ({BARCODES}) a ON a.barcode_id = r.ord % 64 + 1 JOIN ({BARCODES}) b ON b.barcode_id = (r.ord * 7) % 64 + 1 JOIN ({BARCODES}) c ON c.barcode_id = (r.ord * 13) % 64 + 1
+FROM (SELECT r.*, n, lo FROM ({READS}) r CROSS JOIN (SELECT count(*) AS n, min(p_partkey) AS lo FROM part) p) r JOIN ({BARCODES}) a ON a.barcode_id = r.ord % n + lo JOIN ({BARCODES}) b ON b.barcode_id = (r.ord * 7) % n + lo JOIN ({BARCODES}) c ON c.barcode_id = (r.ord * 13) % n + lo
 """
 
 

@@ -10,10 +10,10 @@ from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from helixsieve.functions import features as X
 from helixsieve.functions import matching as M
+from helixsieve.operators.selection import with_copies
 from helixsieve.operators.trims import with_trim
 from helixsieve.params import QCParams
 
@@ -42,16 +42,8 @@ def with_matches(df: DataFrame, p: QCParams) -> DataFrame:
 
 
 def with_duplicates(df: DataFrame, p: QCParams) -> DataFrame:
-    """Flag all but the first read, by ord, of each group of equal sequences; of pairs both mates together.
-
-    One shuffle of the reads by sequence. With ``hot_copies`` no task meets a whole group: first places come from
-    partial aggregates, and reads join them by ord, for input in which one sequence is a large part of all.
-    """
-    key = F.concat(*(F.col(f"seq{m}") for m in p.mates()))
-    if p.hot_copies:
-        firsts = df.groupBy(key.alias("key")).agg(F.min("ord").alias("ord")).select("ord", F.lit(False).alias("dup"))
-        return df.join(firsts, "ord", "left").withColumn("dup", F.coalesce("dup", F.lit(True)))
-    return df.withColumn("dup", F.row_number().over(W.partitionBy(key).orderBy("ord")) > 1)
+    """Flag all but the first read, by ord, of each group of equal sequences; of pairs both mates together."""
+    return with_copies(df, "dup", *(f"seq{m}" for m in p.mates()))
 
 
 def tests(df: DataFrame, p: QCParams, mate: int) -> dict[str, Column]:

@@ -1,7 +1,7 @@
 """Choices by the order of reads: head, systematic sample, split; and exact duplicates.
 
-Spark has no row order; ``ord`` is it. Contiguous ranks come from counts of ord ranges, so that no task sees more than
-one range: ranges by arithmetic, their running counts (a small table, broadcast), and a rank within each range.
+Spark has no row order; ``ord`` is it. Contiguous ranks come from counts of pieces of consecutive ords, so that no task
+sees more than a piece: running counts of files' pieces and of files, small tables, and a rank within each piece.
 """
 
 from __future__ import annotations
@@ -10,23 +10,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-#: Ranges that an ordinal column is cut into.
-RANGES = 4096
+#: Bits of an ord below the file's place in the list, and of these below a piece: a piece has 65,536 reads at most.
+FILE_BITS, PIECE_BITS = 40, 16
 
 
 def with_rank(df: DataFrame, name: str = "rank", ord_col: str = "ord") -> DataFrame:
-    """Add the 0-based rank by ord, contiguous, without a global sort."""
-    low, high = df.agg(F.min(ord_col), F.max(ord_col)).first()
-    if low is None:
-        return df.withColumn(name, F.lit(None).cast("long"))
-    width = max(1, -(-(high - low + 1) // RANGES))
-    piece = F.floor((F.col(ord_col) - low) / F.lit(width)).cast("int")
-    df = df.withColumn("_piece", piece)
-    counts = df.groupBy("_piece").agg(F.count("*").alias("_n"))
-    # RANGES rows at most in one window and in the broadcast.
-    before = counts.select("_piece", (F.sum("_n").over(W.orderBy("_piece")) - F.col("_n")).alias("_before"))
+    """Add the 0-based rank by ord, contiguous, without a global sort. df is read twice."""
+    piece = [F.shiftright(ord_col, FILE_BITS).alias("_file"), F.shiftright(ord_col, PIECE_BITS).alias("_piece")]
+    counts = df.groupBy(*piece).agg(F.count("*").alias("_n"))
+    files = counts.groupBy("_file").agg(F.sum("_n").alias("_all"))
+    before = lambda n, by: F.sum(n).over(by) - F.col(n)
+    files = files.select("_file", before("_all", W.orderBy("_file")).alias("_files"))  # a row a file
+    counts = counts.withColumn("_pieces", before("_n", W.partitionBy("_file").orderBy("_piece"))).join(files, "_file")
+    counts = counts.select("_piece", (F.col("_files") + F.col("_pieces")).alias("_before"))
     within = F.row_number().over(W.partitionBy("_piece").orderBy(ord_col)) - 1
-    out = df.withColumn("_within", within).join(F.broadcast(before), "_piece")
+    out = df.withColumn("_piece", F.shiftright(ord_col, PIECE_BITS)).withColumn("_within", within).join(counts, "_piece")
     return out.withColumn(name, F.col("_before") + F.col("_within")).drop("_piece", "_within", "_before")
 
 
@@ -57,10 +55,28 @@ def split(df: DataFrame, n: int) -> DataFrame:
     return with_rank(df).withColumn("split", F.floor(F.col("rank") / n).cast("int")).drop("rank")
 
 
+def first_copies(df: DataFrame, *seqs: str) -> DataFrame:
+    """(_key, _first): each sequence that occurs more than once, and the ord of its first read.
+
+    Partial counts are made before the shuffle, so that a frequent sequence is one row a task.
+    """
+    firsts = df.groupBy(F.concat(*seqs).alias("_key")).agg(F.min("ord").alias("_first"), F.count("*").alias("_n"))
+    return firsts.where("_n > 1").drop("_n")
+
+
+def with_copies(df: DataFrame, name: str, *seqs: str) -> DataFrame:
+    """Flag all but the first read, by ord, of each group of equal sequences.
+
+    Reads meet what occurs more than once; adaptive execution broadcasts it if it is small, and splits a frequent
+    sequence's reads if it is not.
+    """
+    met = df.withColumn("_key", F.concat(*seqs)).join(first_copies(df, *seqs), "_key", "left")
+    return met.withColumn(name, F.coalesce(F.col("ord") > F.col("_first"), F.lit(False))).drop("_key", "_first")
+
+
 def duplicates(df: DataFrame, *seqs: str) -> DataFrame:
     """The later copies of exact duplicates, by ord."""
-    key: list[Column] = [F.concat(*seqs)]
-    return df.withColumn("_rn", F.row_number().over(W.partitionBy(*key).orderBy("ord"))).where("_rn > 1").drop("_rn")
+    return with_copies(df, "_copy", *seqs).where("_copy").drop("_copy")
 
 
 def likely_duplicates(df: DataFrame, *seqs: str) -> DataFrame:

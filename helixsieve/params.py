@@ -45,7 +45,6 @@ class QCParams:
     srna_align_ratio: float = 0.8
     # discards
     rmdup: bool = False
-    hot_copies: bool = False  # one sequence may be a large part of all reads
     tiles: str | None = None
     fovs: str | None = None
     min_length: int | None = 30

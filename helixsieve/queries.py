@@ -227,9 +227,14 @@ def dedup(spark, sf_dir):
     return cascade.with_duplicates(reads(spark, sf_dir), QCParams()).select("ord", "dup")
 
 
-@query(f"SELECT ord, dup FROM ({DUP}) x")
+HOT = f"SELECT ord, row_number() OVER (PARTITION BY CASE WHEN ord % 3 = 0 THEN '' ELSE seq1 || seq2 END ORDER BY ord) > 1 AS dup FROM {R}"
+
+
+@query(HOT)
 def dedup_hot(spark, sf_dir):
-    return cascade.with_duplicates(reads(spark, sf_dir), QCParams(hot_copies=True)).select("ord", "dup")
+    """One sequence is a third of all reads."""
+    hot = lambda m: F.when(F.col("ord") % 3 == 0, "").otherwise(F.col(f"seq{m}"))
+    return cascade.with_duplicates(reads(spark, sf_dir).select("ord", hot(1).alias("seq1"), hot(2).alias("seq2")), QCParams()).select("ord", "dup")
 
 
 @query(f"SELECT ord, seq1, seq2 FROM ({DUP}) x WHERE dup")
@@ -336,7 +341,7 @@ def barcode_demux(spark, sf_dir):
     return barcodes.with_barcodes(df, own, QCParams(module="filterStLFR")).select("ord", "barcode", "id1", "seq2")
 
 
-@query(f"{SEGMENTS} SELECT count(*) AS pairs, count(code) AS pairs_with_barcode, count(DISTINCT code) AS distinct_barcodes, CAST(64 * 64 * 64 AS BIGINT) AS possible_barcodes FROM f")
+@query(f"{SEGMENTS} SELECT count(*) AS pairs, count(code) AS pairs_with_barcode, count(DISTINCT code) AS distinct_barcodes, (SELECT count(*) * count(*) * count(*) FROM b) AS possible_barcodes FROM f")
 def barcode_stats(spark, sf_dir):
     return filter_barcoded(*barcoded(spark, sf_dir), QCParams(module="filterStLFR"))[1]
 
@@ -413,18 +418,50 @@ def small_rna(spark, sf_dir) -> DataFrame:
     return reads(spark, sf_dir).select("ord", "id1", seq.alias("seq1")).select("ord", "id1", "seq1", F.rpad(F.lit("F"), F.length("seq1"), "F").alias("qual1"))
 
 
-@query()
+SMALL_RNA = f"""SELECT ord, id1, CASE WHEN ord % 19 = 0 THEN '{ADAPTER2[-10:]}' ELSE '' END || CASE WHEN ord % 23 = 1 THEN '' ELSE substr(seq1, 1, CAST(15 + ord % 31 AS INT)) END
+|| CASE WHEN ord % 13 = 0 THEN '' ELSE '{ADAPTER1[:20]}' END AS seq FROM {R}"""
+#: Places of the 3' adapter by the best of its offsets, in order, and whether the 5' adapter is there.
+SRNA = f"""WITH q AS (SELECT *, length(seq) AS len FROM ({SMALL_RNA}) s),
+o AS (SELECT ord, 0 AS k, 0 AS spot, 2 AS skip FROM q UNION ALL SELECT ord, 1, 0, 1 FROM q UNION ALL SELECT ord, 2 + i, i, 0 FROM q, range(0, 200) t(i) WHERE i <= len - 5),
+c AS (SELECT ord, k, spot, substr(seq, spot + 1, least(32 - skip, len - spot)) AS x, substr('{ADAPTER1}', skip + 1, least(32 - skip, len - spot)) AS y FROM o JOIN q USING (ord) WHERE len >= 5 AND spot <= len - 5),
+w AS (SELECT ord, k, spot, hamming(x, y) - (length(x) - length(replace(x, 'N', ''))) AS bad, length(x) - hamming(x, y) AS good FROM c),
+f AS (SELECT ord, list(struct_pack(spot := spot, bad := bad, good := good) ORDER BY k) AS l FROM w WHERE bad <= 4 AND good + bad >= 5 AND good > 0 AND {ratio('bad', 'good')} <= {real('0.4')} GROUP BY ord),
+a AS (SELECT ord, list_reduce(l, lambda b, x: CASE WHEN x.bad <= b.bad AND x.good >= b.good THEN x ELSE b END).spot AS ada1 FROM f),
+o5 AS (SELECT ord, 0 AS spot, i AS skip FROM q, range(1, 27) t(i) UNION ALL SELECT ord, i, 0 FROM q, range(0, 200) t(i) WHERE i <= greatest(0, len - 6)),
+c5 AS (SELECT ord, len, substr(seq, spot + 1, least(32 - skip, len - spot)) AS x, substr('{ADAPTER2}', skip + 1, least(32 - skip, len - spot)) AS y FROM o5 JOIN q USING (ord) WHERE len > spot),
+w5 AS (SELECT *, length(x) - hamming(x, y) AS good FROM c5 WHERE hamming(x, y) <= 4),
+b AS (SELECT DISTINCT ord FROM w5 WHERE (len < 12 OR contains(array_to_string(list_transform(range(1, length(x) + 1), lambda c: CASE WHEN substr(x, c, 1) = substr(y, c, 1) THEN '1' ELSE '0' END), ''), '111111'))
+AND (CAST(good AS DOUBLE) / len >= CAST(0.8 AS DOUBLE) OR CAST(good AS DOUBLE) / 32 >= CAST(0.8 AS DOUBLE)))
+SELECT q.ord, seq AS seq1, CAST(coalesce(ada1, -1) AS INT) AS ada1, b.ord IS NOT NULL AS five1 FROM q LEFT JOIN a ON a.ord = q.ord LEFT JOIN b ON b.ord = q.ord"""
+
+
+@query(SRNA)
 def srna_adapters(spark, sf_dir):
     p = QCParams.srna(adapters1=(ADAPTER2,), adapters2=(ADAPTER1,))
     return cascade.with_matches(small_rna(spark, sf_dir), p).select("ord", "seq1", "ada1", "five1")
 
 
-@query()
+@query(f"""SELECT ord, CASE WHEN length(tseq1) > 49 THEN 'long' WHEN ada1 < 0 THEN 'no_3_adapter' WHEN ada1 <= 2 THEN 'insert_null' WHEN five1 THEN 'has_5_adapter' WHEN length(tseq1) < 18 THEN 'short' END AS reason, tseq1
+FROM (SELECT *, CASE WHEN ada1 > 2 THEN substr(seq1, 1, ada1) ELSE seq1 END AS tseq1 FROM ({SRNA}) x) y""")
 def filter_srna(spark, sf_dir):
     p = QCParams.srna(adapters1=(ADAPTER2,), adapters2=(ADAPTER1,), adapter_mode="trim")
     return filter_reads(small_rna(spark, sf_dir), p).judged.select("ord", "reason", "tseq1")
 
 
+@query(f"""SELECT r.ord, CASE WHEN length(seq1) < 30 THEN 'short' WHEN pos >= 0 THEN 'contaminant' WHEN {ratio(n_of('N', 'seq1'), 'length(seq1)')} >= {real('0.05')} THEN 'n_ratio' END AS reason
+FROM {R} JOIN ({contam_sql('seq1', *CONTAMS[0])}) c ON c.ord = r.ord""")
+def discard_contaminants(spark, sf_dir):
+    p = QCParams(paired=False, contams1=(CONTAMS[0][0],), contam_ratios=(CONTAMS[0][1],), max_low_quality=None)
+    return filter_reads(reads(spark, sf_dir), p).judged.select("ord", "reason")
+
+
+@query(f"""SELECT a.ord, CASE WHEN a.pos >= 0 THEN substr(seq1, 1, a.pos) ELSE seq1 END AS tseq1, CASE WHEN b.pos >= 0 THEN substr(seq2, 1, b.pos) ELSE seq2 END AS tseq2
+FROM {R} JOIN ({adapter_sql('seq1', ADAPTER1)}) a ON a.ord = r.ord JOIN ({adapter_sql('seq2', ADAPTER2)}) b ON b.ord = r.ord""")
+def trim_adapters(spark, sf_dir):
+    p = QCParams(adapters1=(ADAPTER1,), adapters2=(ADAPTER2,), adapter_mode="trim")
+    return trims.with_trim(cascade.with_matches(reads(spark, sf_dir), p), p).select("ord", "tseq1", "tseq2")
+
+
 def filter_pe_sql() -> str:
     arms = [("duplicate", "dup", "3")]
     conditions = [c for c in CONDITIONS if c[0] in ("short", "n_ratio")]
@@ -457,6 +494,25 @@ def pe_overlap(spark, sf_dir):
     return reads(spark, sf_dir).withColumn("seq2", mate).select("ord", M.overlap_of(F.col("seq1"), F.col("seq2"), p).alias("overlap"))
 
 
+@query(f"""WITH q AS (SELECT *, replace(seq1, 'N', 'x') AS a, {revcomp('m2')} AS b FROM (SELECT *, {MATE2} AS m2 FROM {R}) p),
+l AS (SELECT DISTINCT ord FROM q, range(20, 200) t(i) WHERE i <= length(a) AND i <= length(b) AND hamming(right(a, i), left(b, i)) <= floor(CAST(0.1 AS DOUBLE) * i))
+SELECT q.ord, CASE WHEN length(seq1) < 30 OR length(m2) < 30 THEN 'short' WHEN {ratio(n_of('N', 'seq1'), 'length(seq1)')} >= {real('0.05')} OR {ratio(n_of('N', 'm2'), 'length(m2)')} >= {real('0.05')} THEN 'n_ratio'
+WHEN l.ord IS NOT NULL THEN 'overlap' END AS reason FROM q LEFT JOIN l ON l.ord = q.ord""")
+def discard_overlaps(spark, sf_dir):
+    p = QCParams(overlap=20, max_low_quality=None)
+    mate = F.when(F.col("ord") % 5 == 0, F.concat(X.reverse_complement(F.substr("seq1", F.lit(60))), F.substr("seq2", F.lit(1), F.lit(59)))).otherwise(F.col("seq2"))
+    df = reads(spark, sf_dir).withColumn("seq2", mate).withColumn("qual2", F.rpad(F.lit("F"), F.length("seq2"), "F"))
+    return filter_reads(df, p).judged.select("ord", "reason")
+
+
+ODD_ID = "CASE WHEN ord % 9 = 0 THEN 'x' || id2 WHEN ord % 11 = 0 THEN replace(id2, '/2', '') ELSE id2 END"
+
+
+@query(f"SELECT ord FROM (SELECT ord, id1, {ODD_ID} AS i2 FROM {R}) x WHERE NOT (ends_with(id1, '/1') AND ends_with(i2, '/2') AND regexp_replace(id1, '/1$', '') = regexp_replace(i2, '/2$', ''))")
+def barcode_bad_ids(spark, sf_dir):
+    return barcodes.bad_ids(reads(spark, sf_dir).withColumn("id2", F.expr(ODD_ID))).select("ord")
+
+
 SAM = """SELECT 2 * ord + m.mate - 1 AS ord, 'r' || ord AS qname, CASE WHEN m.mate = 1 THEN CASE WHEN ord % 4 = 1 THEN 81 ELSE 65 END ELSE 129 END AS flag,
 CASE WHEN m.mate = 1 THEN CASE WHEN ord % 4 = 1 THEN {rc} ELSE seq1 END ELSE seq2 END AS seq, CASE WHEN m.mate = 1 THEN CASE WHEN ord % 4 = 1 THEN reverse(qual1) ELSE qual1 END ELSE qual2 END AS qual
 FROM {r} CROSS JOIN (SELECT 1 AS mate UNION ALL SELECT 2) m""".format(rc=revcomp("seq1"), r=R)
@@ -487,3 +543,10 @@ def stream_filter(spark, sf_dir):
     live.start(live.stream_fastq(spark, path + "/in.gz", files_per_batch=4), p, path + "/out", path + "/state").awaitTermination()
     counts = spark.read.parquet(path + "/out/counts")
     return counts.groupBy("reason").agg(F.sum("reads").alias("reads"), F.sum("bases").alias("bases"))
+
+
+@query(f"SELECT min(ord) AS ord, count(*) AS records, qname AS id1, arg_min(CASE WHEN flag & 16 <> 0 THEN {revcomp('seq')} ELSE seq END, ord) AS seq1, arg_min(CASE WHEN flag & 16 <> 0 THEN reverse(qual) ELSE qual END, ord) AS qual1 FROM ({SAM}) s GROUP BY qname")
+def sam_single(spark, sf_dir):
+    """Records of one name as one single-end read: its first."""
+    reads(spark, sf_dir)  # registers the tables
+    return alignments.grouped(spark.sql(SAM).withColumn("flag", F.col("flag").cast("int")), False)

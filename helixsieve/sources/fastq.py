@@ -26,10 +26,10 @@ def numbered_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     for i, path in enumerate(paths):
         lines = spark.read.text(path).select(F.lit(i).alias("file"), "value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
         blocks = lines.groupBy("path", "block").agg(F.count("*").alias("n"), F.min("id").alias("first"))
-        # One row a block of the input.
-        at = W.partitionBy(F.lit(0)).orderBy("path", "block")
+        # One row a block; what a file has before it is counted file by file.
+        at = W.partitionBy("path").orderBy("block")
         blocks = blocks.select("path", "block", "first", (F.sum("n").over(at) - F.col("n")).alias("before"))
-        lines = lines.join(F.broadcast(blocks), ["path", "block"]).select("file", (F.col("before") + F.col("id") - F.col("first")).alias("line"), F.regexp_replace("value", "\r$", "").alias("value"))
+        lines = lines.join(blocks, ["path", "block"]).select("file", (F.col("before") + F.col("id") - F.col("first")).alias("line"), F.regexp_replace("value", "\r$", "").alias("value"))
         out = lines if out is None else out.unionByName(lines)
     return out
 
@@ -44,11 +44,14 @@ def read_fastq(spark: SparkSession, paths: str | Sequence[str], mate: int = 1) -
 
 
 def read_pairs(spark: SparkSession, paths1: str | Sequence[str], paths2: str | Sequence[str], *, check: bool = True) -> DataFrame:
-    """Mates by place. With check the files must hold equally many records."""
+    """Mates by place. With check a record without its mate fails the run when it is met."""
     one, two = read_fastq(spark, paths1, 1), read_fastq(spark, paths2, 2)
-    if check and (a := one.count()) != (b := two.count()):
-        raise ValueError(f"{a} and {b} records")
-    return one.join(two, "ord")
+    if not check:
+        return one.join(two, "ord")
+    pairs = one.join(two, "ord", "full")
+    alone = F.col("id1").isNull() | F.col("id2").isNull()
+    message = F.concat(F.lit("the files differ in length: record "), F.col("ord").cast("string"), F.lit(" has no mate"))
+    return pairs.withColumn("id1", F.when(alone, F.raise_error(message).cast("string")).otherwise(F.col("id1")))
 
 
 def read_file_lists(spark: SparkSession, list1: str, list2: str) -> DataFrame:
@@ -108,9 +111,12 @@ def write_reads(df: DataFrame, p: QCParams, paths: Sequence[str], *, one_file: b
 
 
 def write_split(df: DataFrame, p: QCParams, path: str, mate: int = 1) -> None:
-    """Write reads that have a column ``split`` into a folder for each part, in order within it."""
+    """Write reads that have a column ``split`` into a folder for each part, in order over its files.
+
+    Tasks take ranges of the order, so a part of any size is written by as many as it needs.
+    """
     df = finished(df, p)
     own = [F.col(f"{c}{mate}") for c in ("oid", "oseq", "oqual")]
     rows = df.select("split", "ord", F.concat_ws("\n", own[0], own[1], F.lit("+"), own[2]).alias("value"))
-    rows = rows.repartition("split").sortWithinPartitions("split", "ord")
+    rows = rows.repartitionByRange("split", "ord").sortWithinPartitions("split", "ord")
     rows.select("split", "value").write.partitionBy("split").option("compression", "gzip").text(path)

@@ -31,7 +31,7 @@ def test_alignments_and_barcodes(spark, tmp_path):
     (tmp_path / "x.sam").write_text("@HD\tVN:1.6\n" + "\n".join([line("a", 65, "ACGT" * 10), line("a", 129, "ACGT" * 10), line("b", 65, "N" * 40), line("b", 129, "ACGT" * 10)]) + "\n")
     main(["filterHts", "-1", str(tmp_path / "x.sam"), "-o", str(tmp_path / "hts")])
     got = [x.split("\t")[1] for x in "".join(p.read_text() for p in sorted((tmp_path / "hts/marked.sam").glob("part-*"))).splitlines()]
-    assert got == ["65", "129", str(65 + 512), str(129 + 512)]
+    assert got == ["VN:1.6", "65", "129", str(65 + 512), str(129 + 512)]  # the header is kept
     (tmp_path / "b").write_text("AAAAA 1\nCCCCC 2\n")
     for m, s in ((1, "ACGT" * 10), (2, "GGCC" * 10 + "AAAAACCCCCAAAAA")):
         (tmp_path / f"s{m}.fq").write_text(f"@x/{m}\n{s}\n+\n{'I' * len(s)}\n")
