@@ -332,7 +332,7 @@ f AS (SELECT *, CASE WHEN b1 IS NULL OR b2 IS NULL OR b3 IS NULL THEN NULL ELSE
 
 def barcoded(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     df = reads(spark, sf_dir, BARCODED)
-    return df, spark.sql(BARCODES).withColumn("ord", F.col("barcode_id").cast("long"))
+    return df, reads(spark, sf_dir, BARCODES).withColumn("ord", F.col("barcode_id").cast("long"))
 
 
 @query(f"{SEGMENTS} SELECT ord, coalesce(code, '0_0_0') AS barcode, replace(id1, '/1', '') || '#' || coalesce(code, '0_0_0') || '/1' AS id1, substr(seq2, 1, 100) AS seq2 FROM f")
@@ -521,8 +521,7 @@ SAM_BAD = f"{ratio(n_of('N', 'seq1'), 'length(seq1)')} >= {real('0.05')} OR leng
 
 @query(f"SELECT s.ord, s.qname, CASE WHEN b.qname IS NULL THEN s.flag ELSE s.flag | 512 END AS flag FROM ({SAM}) s LEFT JOIN (SELECT 'r' || ord AS qname FROM {R} WHERE {SAM_BAD}) b ON b.qname = s.qname")
 def sam_qcfail_flag(spark, sf_dir):
-    reads(spark, sf_dir)  # registers the tables
-    records = spark.sql(SAM).withColumn("flag", F.col("flag").cast("int"))
+    records = reads(spark, sf_dir, SAM).withColumn("flag", F.col("flag").cast("int"))
     return alignments.mark(records, QCParams(max_low_quality=None))[0].select("ord", "qname", "flag")
 
 
@@ -548,5 +547,4 @@ def stream_filter(spark, sf_dir):
 @query(f"SELECT min(ord) AS ord, count(*) AS records, qname AS id1, arg_min(CASE WHEN flag & 16 <> 0 THEN {revcomp('seq')} ELSE seq END, ord) AS seq1, arg_min(CASE WHEN flag & 16 <> 0 THEN reverse(qual) ELSE qual END, ord) AS qual1 FROM ({SAM}) s GROUP BY qname")
 def sam_single(spark, sf_dir):
     """Records of one name as one single-end read: its first."""
-    reads(spark, sf_dir)  # registers the tables
-    return alignments.grouped(spark.sql(SAM).withColumn("flag", F.col("flag").cast("int")), False)
+    return alignments.grouped(reads(spark, sf_dir, SAM).withColumn("flag", F.col("flag").cast("int")), False)

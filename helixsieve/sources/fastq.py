@@ -26,9 +26,10 @@ def numbered_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     for i, path in enumerate(paths):
         lines = spark.read.text(path).select(F.lit(i).alias("file"), "value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
         blocks = lines.groupBy("path", "block").agg(F.count("*").alias("n"), F.min("id").alias("first"))
-        # One row a block; what a file has before it is counted file by file.
-        at = W.partitionBy("path").orderBy("block")
-        blocks = blocks.select("path", "block", "first", (F.sum("n").over(at) - F.col("n")).alias("before"))
+        # One row a block, and one a part file of a folder: counts run within files, and over them.
+        inside, over = W.partitionBy("path").orderBy("block"), W.orderBy("path")
+        parts = blocks.groupBy("path").agg(F.sum("n").alias("all")).select("path", (F.sum("all").over(over) - F.col("all")).alias("files"))
+        blocks = blocks.withColumn("here", F.sum("n").over(inside) - F.col("n")).join(parts, "path").select("path", "block", "first", (F.col("files") + F.col("here")).alias("before"))
         lines = lines.join(blocks, ["path", "block"]).select("file", (F.col("before") + F.col("id") - F.col("first")).alias("line"), F.regexp_replace("value", "\r$", "").alias("value"))
         out = lines if out is None else out.unionByName(lines)
     return out

@@ -144,6 +144,12 @@ def test_fastq(spark, tmp_path):
     assert text == one.read_bytes().replace(b"\r", b"")
     fastq.write_reads(reads, QCParams(paired=False, fasta=True), [out + ".fa"])
     assert fastq.malformed(reads).count() == 0 and fastq.odd_ids(fastq.read_pairs(spark, str(one), str(two))).count() == 0
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    fastq.write_reads(reads, QCParams(paired=False), [out + ".parts"])  # several files in one folder
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(list((tmp_path / "out.parts").glob("part-*"))) > 1
+    assert fastq.read_fastq(spark, out + ".parts").drop("ord").exceptAll(reads.drop("ord")).count() == 0
+    assert fastq.read_fastq(spark, out + ".parts").select("ord").distinct().count() == reads.count()
     fastq.write_split(selection.split(reads, 200), QCParams(paired=False), out + ".split")
     assert sorted(p.name for p in (tmp_path / "out.split").glob("split=*")) == ["split=0", "split=1", "split=2"]
     two_short = tmp_path / "c.fq"
