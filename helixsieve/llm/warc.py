@@ -289,7 +289,7 @@ def _read(own: dict[str, str], block: bytes) -> tuple:
     at, head = _head(block)
     page_id = int(x) if (x := head.get("X-Page-Id")) else None
     if own["WARC-Type"] == "revisit":
-        return own["WARC-Record-ID"], page_id, int(head["Content-Length"]), said, "revisit", own["WARC-Refers-To"]
+        return own["WARC-Record-ID"], page_id, None, said, "revisit", own["WARC-Refers-To"]
     if digest(block[at:]) != said or digest(block) != own["WARC-Block-Digest"].removeprefix("sha1:"):
         raise ValueError(f"{own['WARC-Record-ID']}: the block isn't that of its digests")
     return own["WARC-Record-ID"], page_id, len(block) - at, said, own["WARC-Type"], None
@@ -297,7 +297,7 @@ def _read(own: dict[str, str], block: bytes) -> tuple:
 
 def read_warc(spark: SparkSession, path: str, *, scratch: Scratch | None = None) -> DataFrame:
     """record_id, page_id, payload_bytes, payload_digest, record_type and refers_to, the page_id of what a revisit
-    refers to, of each page's record; digests are made anew."""
+    refers to, of each page's record; digests are made anew. A revisit's payload is as long as what it refers to."""
     small_batches(spark)
     scratch = scratch or Scratch(spark, "warc-read")
 
@@ -307,5 +307,6 @@ def read_warc(spark: SparkSession, path: str, *, scratch: Scratch | None = None)
                 yield _rows([_read(own, block) for own, block in warc_records(data) if own["WARC-Type"] != "warcinfo"], READ)
 
     rows = scratch.save(_archives(spark, path).mapInArrow(run, READ), "read")
-    named = rows.select(F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to"))
-    return rows.join(named, "refers_to_id", "left").drop("refers_to_id")
+    named = rows.where("refers_to_id is null").select(F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("first_bytes"))
+    out = rows.join(named, "refers_to_id", "left").withColumn("payload_bytes", F.coalesce("payload_bytes", "first_bytes"))
+    return out.select("record_id", "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

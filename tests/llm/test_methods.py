@@ -1,5 +1,6 @@
 """The operators' methods against plain versions, on random small inputs and on the queries' contracts."""
 
+import hashlib
 import random
 import zlib
 from fractions import Fraction
@@ -9,7 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from helixsieve.llm import exact_dedup, mixing, near_dedup, packing, sharding, substring_dedup, topk, warc, words
+from helixsieve.llm import exact_dedup, langid, mixing, near_dedup, packing, sharding, substring_dedup, topk, url_reputation, warc, words
 from helixsieve.llm.common import Scratch
 from helixsieve.llm.components import components
 from helixsieve.llm.queries import queries, tokenizer_path
@@ -220,6 +221,14 @@ def test_packing_query(spark):
     plain, by_doc = Tokenizer.from_file(tokenizer_path()), {}
     for r in queries()["op6_harmonic_packing"](spark, SF).collect():
         by_doc.setdefault(r["doc_id"], []).append(r)
+    by_sequence = {}
+    for r in (r for own in by_doc.values() for r in own):
+        by_sequence.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for own in by_sequence.values():
+        own.sort()
+        assert [o for o, _ in own] == [sum(n for _, n in own[:k]) for k in range(len(own))]
+        total = sum(n for _, n in own)
+        assert total == 2048 or total < 2048 and total & (total - 1) == 0
     assert set(by_doc) == set(docs)
     for i, own in by_doc.items():
         ids = np.array([*plain.encode(docs[i] or "", add_special_tokens=False).ids, 1], "<u4")
@@ -286,24 +295,233 @@ def test_ball_tree(seed):
     x = np.floor(64 * rng.normal(size=(700, 12)) * rng.choice([0.01, 1], size=(700, 1)))
     x[100:400] = x[100]
     ids = rng.permutation(5000)[:700]
-    tree = topk.BallTree(ids, x)
-    got = topk.search(tree, ids[:50], x[:50], 10, np.full(50, -np.inf))
+    tree = topk.BallTree.load(topk.BallTree.build(ids, x).dump())
+    inner = [n for n in tree.nodes.tolist() if n[2]]
+    assert inner and all(tree.nodes[c][0] == a and tree.nodes[c + 1][1] == b for a, b, c in inner)
+    for (a, b, _), centre, radius in zip(tree.nodes.tolist(), tree.centres, tree.radii, strict=True):
+        assert np.sqrt(((tree.x[a:b] - centre) ** 2).sum(1)).max() <= radius + 1e-9
+    got = topk.search(tree, ids[:50], x[:50], 10, [None] * 50)
     for i in range(50):
-        scores = x @ x[i]
-        want = sorted(((-int(s), int(v)) for s, v in zip(scores, ids, strict=True) if v != ids[i]))[:10]
+        want = sorted((-int(s), int(v)) for s, v in zip(x @ x[i], ids, strict=True) if v != ids[i])[:10]
         assert got[i] == [(-s, v) for s, v in want]
-    assert len(tree.leaves) > 3
+        floor = got[i][4][0]  # what ties with a floor is kept
+        assert topk.search(tree, ids[i : i + 1], x[i : i + 1], 10, [floor])[0][:5] == got[i][:5]
+
 
+def test_scores_beyond_64_bits():
+    for score in (0, -5, (1 << 63) - 1, 1 << 63, 1 << 70, -(1 << 63), -(1 << 70)):
+        assert topk._join(*topk._split(score)) == score
+    order = [topk._split(s) for s in (-(1 << 80), -(1 << 70), -(1 << 63), -7, 0, (1 << 63) - 2, (1 << 63) - 1, 1 << 63, 1 << 80)]
+    assert order == sorted(order)
 
-def test_arc():
-    own = [("http://a/%20b", "20200102030405", "text/html", b"HTTP/1.1 200 OK\r\nX-Page-Id: 7\r\nX-Row-Key: 1.2\r\n\r\nbody\n\nhttp://x 1 2 3 4\n"), ("dns:a", "20200102030405", "text/dns", b"")]
+
+def test_arc(spark, tmp_path):
+    own = [("http://a/%20b", "20200102030405", "text/html", b"HTTP/1.1 200 OK\r\nX-Page-Id: 7\r\nContent-Length: 23\r\n\r\nbody\n\nhttp://x 1 2 3 4\n"), ("dns:a", "20200102030405", "text/dns", b""), ("http://big/", "20200102030406", "text/plain", b"z" * (17 << 20))]
+    (tmp_path / "arc").mkdir()
     for version in (1, 2):
-        data = warc.arc_file(version, "x.arc", own)
+        data = warc.arc_begin(version, "x.arc") + b"".join(warc.arc_record(version, "x.arc", 0, *x) for x in own)
         got = list(warc.arc_records(data))
         assert [b for _, b in got] == [x[3] for x in own] and [h["URL"] for h, _ in got] == [x[0] for x in own]
         assert list(got[0][0]) == warc.ARC_FIELDS[version].split()
-        row = warc.to_warc(*got[0])
-        assert row[:3] == (1, 2, 7) and row[5] == "2020-01-02T03:04:05Z" and row[6] == "response" and row[9] == 23
-        assert warc.to_warc(*got[1])[6] == "resource"
+        row = warc.to_warc(*got[0], "k")
+        assert (row[6], row[3], row[5], row[9]) == (7, "2020-01-02T03:04:05Z", "response", 23)
+        assert warc.to_warc(*got[1], "k")[4:6] == ("text/dns", "resource")
         with pytest.raises(ValueError):
             list(warc.arc_records(data[:-60]))
+        (tmp_path / "arc" / f"v{version}.arc").write_bytes(data)  # as others write them, not compressed
+    scratch = Scratch(spark, "t")
+    warc.convert_arc(spark, str(tmp_path / "arc"), scratch.path("warc"), scratch=scratch)
+    rows = warc.read_warc(spark, scratch.path("warc")).collect()
+    assert sorted((r["payload_bytes"], r["record_type"]) for r in rows) == [(0, "resource"), (0, "revisit"), (23, "response"), (23, "revisit"), (17 << 20, "resource"), (17 << 20, "revisit")]
+
+
+def test_gzip_members():
+    import gzip
+
+    for data in (b"", b"abc" * 1000, bytes(range(256)) * (70 << 10)):
+        assert gzip.decompress(warc.member(data) + b"\0") == data
+    assert gzip.decompress(b"".join(warc.member(x) + b"\0" for x in (b"a", b"b"))) == b"ab"
+
+
+def test_equal_rows_are_dealt_out(spark):
+    rows = sharding.shard_by_bytes(spark.createDataFrame([(1, "abc")] * 400, "doc_id long, text string"), shards=8).collect()
+    sizes = [sum(r["shard"] == s for r in rows) for s in range(8)]
+    assert max(sizes) - min(sizes) <= 1
+
+
+def test_slots_are_in_key_order(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    text = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    rows = sorted(sharding.shard_by_bytes(docs, shards=5).collect(), key=lambda r: (r["shard"], r["slot"]))
+    keys = [(hashlib.md5(text[r["doc_id"]].encode()).hexdigest(), r["doc_id"]) for r in rows]
+    assert keys == sorted(keys)
+
+
+def test_cut_along_the_order(spark):
+    rng = random.Random(9)
+    rows = [(i, rng.choice(["a", "b", "c", "d", None]), " ".join(["w"] * rng.choice([0, 1, 5, 40, 700])) + " " * i) for i in range(300)]
+    rows += [(1000, "lone", "x")]
+    own = {}
+    for _, source, text in rows:
+        own[source] = own.get(source, 0) + len(text.split())
+    names = sorted((n for n in own if n), key=lambda n: n.encode()) + [None]
+    weight = {n: (3, 1, 2)[i % 3] for i, n in enumerate(names)}
+    t = mixing.cut_time([(own[n], weight[n]) for n in names], Fraction(3, 2) * sum(own.values()), 2)
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()
+    for n in names:
+        quota, mine = min(Fraction(2 * own[n]), weight[n] * t), [r for r in got if r["source"] == n]
+        assert {r["target"] for r in mine} == {float(quota)} and sum(r["taken"] for r in mine) == int(quota)
+        queue = sorted(mine, key=lambda r: hashlib.md5(f"17|{r['doc_id']}|{rows[r['doc_id']][2] if r['doc_id'] < 1000 else 'x'}".encode()).hexdigest())
+        upto = 0
+        for r in queue:
+            assert r["taken"] == sum(max(0, min(r["size"], int(quota) - k * own[n] - upto)) for k in (0, 1))
+            upto += r["size"]
+
+
+def test_classes_take_their_count():
+    packer = packing.Packer(64, 0, gaps=1000)
+    for i in range(6):  # class 3: 17 to 21 of 64
+        packer.add(i, np.arange(21, dtype="<u4"))
+    assert [len(pieces) for _, _, pieces in packer.gaps] == [3, 3] and not packer.waiting
+    rows = packer.add(9, np.arange(1, dtype="<u4")) + packer.end()  # the last fills a gap
+    assert {r[0] for r in rows} == {*range(6), 9} and sum(r[2] for r in rows) == 127
+    rng = random.Random(1)
+    packer, out = packing.Packer(2048, 0), []
+    for i in range(3000):
+        out += packer.add(i, np.arange(int(rng.lognormvariate(5.5, 1)) % 2048 + 1, dtype="<u4"))
+    assert len(out + packer.end()) < 1.4 * 3000  # most documents are whole
+
+
+def test_other_tokenizers():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    for name, special in (("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)):
+        path = public_tokenizers.path(name)
+        assert packing.by_word(path) == special
+        plain, own = Tokenizer.from_file(path), packing.encoder(path)
+        for text in ("Hello  <|endoftext|> the WORLD's", "a<|ENDOFTEXT|>b", "", "naïve  ½ \n x"):
+            assert own(text.encode()).tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
+def test_chunks_hashed_apart(spark):
+    docs = spark.createDataFrame([(i, ("ab c" * i)[: 7 * (i % 9)]) for i in range(40)] + [(99, None)], "doc_id long, text string")
+    run = lambda spread: sorted(map(str, exact_dedup.exact_dedup(docs, spread=spread).drop("uid").collect()))
+    assert run(5) == run(1 << 20)
+
+
+def test_shrinkage_by_hand(spark):
+    """Hosts of one domain and suffix; every step of the shrinkage in plain Python."""
+    rows = [("a.x.org", 10, 9), ("b.x.org", 10, 1), ("c.x.org", 0, 0), ("y.org", 4, 2), ("z.com", 5, 0), ("1.2.3.4", 3, 3)]
+    got = {r["host"]: r for r in url_reputation.host_reputation(spark.createDataFrame(rows, "host string, n long, b long"), z=1.645, cut=0.5).collect()}
+
+    def strength(level):
+        own = [(n, b) for n, b in level if n]
+        k, n, b = len(own), sum(n for n, _ in own), sum(b for _, b in own)
+        m = b / n
+        rho = ((sum(b * b / n for n, b in own) - n * m * m) / k - m * (1 - m)) / (m * (1 - m) * (n / k - 1))
+        return max(1.0, min(1000.0, 1 / rho - 1)) if rho > 0 else 1000.0
+
+    suffix = {"org": (24, 12), "com": (5, 0), "1.2.3.4": (3, 3)}
+    domain = {"x.org": (20, 10), "y.org": (4, 2), "z.com": (5, 0), "1.2.3.4": (3, 3)}
+    ks, kd, kh = strength(suffix.values()), strength(domain.values()), strength([(n, b) for _, n, b in rows])
+    overall = (15 + 1) / (32 + 10)
+    for host, n, b in rows:
+        d = host if host[0].isdigit() else ".".join(host.split(".")[-2:])
+        s = host if host[0].isdigit() else host.split(".")[-1]
+        rate = (suffix[s][1] + ks * overall) / (suffix[s][0] + ks)
+        rate = (domain[d][1] + kd * rate) / (domain[d][0] + kd)
+        rate = (b + kh * rate) / (n + kh)
+        assert got[host]["rate"] == pytest.approx(rate) and got[host]["bound"] == pytest.approx(rate - 1.645 * (rate * (1 - rate) / (n + kh + 1)) ** 0.5)
+
+
+def test_batches_of_languages(spark):
+    """The batch's product against plain sums, a text and a pair at a time."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model, texts = langid.fit(docs), [r["text"] for r in docs.limit(60).collect()] + [None, "", "123"]
+    margin = lambda x, i: float(sum(float(a) * float(b) for a, b in zip(x, model.weights[i], strict=True) if a) + model.offsets[i])
+    for text, (lang, score) in zip(texts, model.predict(texts, batch=7), strict=True):
+        if not text or not any(c.isalpha() for c in text):
+            assert (lang, score) == ("und", 0.0)
+            continue
+        x = langid.unit(langid.trigram_counts(text))
+        first = [margin(x, i) for i in range(len(model.families))] if len(model.families) > 1 else [0.0]
+        own = model.own[model.families[first.index(max(first))]]
+        wins = {v: 0 for v in own}
+        for k, (a, b) in enumerate(model.pairs):
+            if a in wins:
+                wins[a if margin(x, (len(model.families) if len(model.families) > 1 else 0) + k) > 0 else b] += 1
+        assert wins[lang] == max(wins.values()) and 0 <= score <= 1
+
+
+def test_regions_across_tasks(spark):
+    """Neighbours meet although every task holds a few rows only."""
+    rng = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(400)]
+    docs = []
+    for _ in range(25):
+        base = [rng.choice(vocabulary) for _ in range(60)]
+        docs += [" ".join(base[:-k] + [f"x{rng.random()}"] * k if k else base) for k in range(4)]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    run = lambda: sorted((r["doc_id"], r["component_id"]) for r in near_dedup.near_dedup(df, words=2, trees=4, first_trees=1).collect())
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "1")
+        one = run()
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        assert run() == one
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+
+
+def test_pipeline_from_end_to_end(spark, tmp_path):
+    """Every stage in plain Python, against the rows of run()."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    rng = random.Random(12)
+    stems = {"en": "the of and that with this for there which from".split(), "de": "der die und nicht mit sich auch einer wird von".split()}
+    rows = []
+    for i in range(60):
+        lang = rng.choice(["en", "de"])
+        words_ = [rng.choice(stems[lang]) + rng.choice(["", f" {lang}{rng.randint(0, 30)}"]) for _ in range(rng.randint(20, 60))]
+        rows.append((i, " ".join(words_), lang, rng.choice(["s1", "s2", None]), 0))
+    rows += [(100 + i, rows[i][1].replace(" ", "  ") + " ", rows[i][2], "s1", 0) for i in range(10)]  # equal but for white space
+    rows += [(200 + i, rows[20 + i][1] + " tail", rows[20 + i][2], "s3", 0) for i in range(10)]  # near copies
+    rows += [(300, None, "en", "s1", 0), (301, "123 456", None, "s2", 0)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+
+    docs = [r for r in rows if r[1] and any(c.isalpha() for c in r[1])]
+    best = {}
+    for r in docs:
+        key = "".join(r[1].split())
+        best[key] = min(best.get(key, r), r, key=lambda r: (-len(r[1]), r[0]))
+    docs = sorted(best.values())
+    sets = [{tuple(r[1].split()[i : i + 5]) for i in range(len(r[1].split()) - 4)} for r in docs]
+    kept, root = [], list(range(len(docs)))
+    for i in range(len(docs)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                root = [root[j] if x == root[i] else x for x in root] if root[j] < root[i] else [root[i] if x == root[j] else x for x in root]
+    kept = [r for i, r in enumerate(docs) if root[i] == i]
+    own = {}
+    for r in kept:
+        own[r[3]] = own.get(r[3], 0) + len(r[1].split())
+    names = sorted(n for n in own if n) + [None] * (None in own)
+    weight = {n: (3, 1, 2)[i % 3] for i, n in enumerate(names)}
+    t = mixing.cut_time([(own[n], weight[n]) for n in names], Fraction(3, 2) * sum(own.values()), 2)
+    plain, want = Tokenizer.from_file(tokenizer_path()), []
+    for n in names:
+        quota, upto = int(min(Fraction(2 * own[n]), weight[n] * t)), 0
+        for r in sorted((r for r in kept if r[3] == n), key=lambda r: hashlib.md5(f"17|{r[0]}|{r[1]}".encode()).hexdigest()):
+            size = len(r[1].split())
+            for k in (0, 1):
+                part = max(0, min(size, quota - k * own[n] - upto))
+                if part:
+                    want.append((r[0], len(plain.encode(" ".join(r[1].split()[:part]), add_special_tokens=False).ids) + 1))
+            upto += size
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted((r["doc_id"], r["doc_tokens"]) for r in got if r["start"] == 0) == sorted(want)
+    assert sum(r["length"] for r in got) == sum(n for _, n in want)
