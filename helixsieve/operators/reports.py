@@ -6,71 +6,88 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from helixsieve.functions import features as X
 from helixsieve.operators.trims import winning_cuts
 from helixsieve.params import QCParams
 
 STAGES = ("raw", "trim", "clean")
 
 
-def staged(judged: DataFrame, p: QCParams, stages: tuple[str, ...] = ("raw", "clean")) -> DataFrame:
-    """A row for each read, mate and stage that it is in: stage, mate, seq, qual. One pass over the reads."""
-    own = []
-    for stage in stages:
-        for m in p.mates():
-            seq, qual = (f"seq{m}", f"qual{m}") if stage == "raw" else (f"tseq{m}", f"tqual{m}")
-            row = F.struct(F.lit(stage).alias("stage"), F.lit(m).alias("mate"), F.col(seq).alias("seq"), F.col(qual).alias("qual"))
-            own.append(F.when(F.col("reason").isNull(), row) if stage == "clean" else row)
-    return judged.select(F.explode(F.array(*own)).alias("x")).where("x is not null").select("x.*")
+def _cells(texts: pa.Array) -> np.ndarray:
+    """Counts of bytes by place and byte, flat: 256 cells a place."""
+    texts = pc.fill_null(texts, "")
+    if not len(texts) or texts.buffers()[2] is None:
+        return np.zeros(0, np.int64)
+    edges = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    x, sizes = np.frombuffer(texts.buffers()[2], np.uint8)[edges[0] : edges[-1]], np.diff(edges)
+    at = np.arange(len(x)) - np.repeat(edges[:-1] - edges[0], sizes)
+    return np.bincount(at * 256 + x, minlength=int(sizes.max()) * 256)
 
 
-def general_stats(rows: DataFrame, phred: int = 33) -> DataFrame:
-    """Reads, bases, counts of bases and of good qualities, and lengths, by stage and mate."""
-    seq, qual = F.col("seq"), F.col("qual")
-    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
-    out = rows.groupBy("stage", "mate").agg(
-        F.count("*").alias("reads"), total(F.length(seq)).alias("bases"), *(total(X.count_base(seq, b)).alias(b.lower()) for b in "ACGTN"),
-        total(X.count_from(qual, 20, phred)).alias("q20"), total(X.count_from(qual, 30, phred)).alias("q30"), F.max(F.length(seq)).cast("long").alias("max_length"),
-    )
-    return out.withColumn("mean_length", F.round(F.col("bases") / F.col("reads"), 2))
+def _sum(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Counts of reads of other lengths together."""
+    a, b = (a, b) if len(a) >= len(b) else (b, a)
+    out = a.astype(np.int64)
+    out[: len(b)] += b
+    return out
 
 
-def histograms(rows: DataFrame) -> DataFrame:
-    """(kind, stage, mate, pos, symbol, n): counts of each byte of seq and of qual at each position, from 1.
+def histograms(judged: DataFrame, p: QCParams, stages: tuple[str, ...] = ("raw", "clean")) -> DataFrame:
+    """(kind, stage, mate, pos, symbol, n): counts of each byte of seq and of qual at each position, from 1, and of reads.
 
-    A task counts its reads in arrays and gives one row a cell, so the exchange carries cells, not bases.
+    Letters of seq are counted as upper-case. The kind ``read`` has its count at position and symbol 0. A task counts its
+    reads in arrays and gives one row a cell, so the exchange carries cells, not bases. Reads that nothing cuts go to
+    Python once for all stages.
     """
+    own: list[tuple[int, str, list[str]]] = []  # mate, prefix of its columns, stages that they show
+    for m in p.mates():
+        cut = f"cuts{m}" in judged.columns and set(judged.schema[f"cuts{m}"].dataType.names) - {"len", "head", "tail"}
+        shown = {"": [s for s in stages if s == "raw" or not cut], "t": [s for s in stages if s != "raw" and cut]}
+        own += [(m, prefix, names) for prefix, names in shown.items() if names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, str, int], np.ndarray] = {}
+        held: dict[tuple[str, int, str, bool], np.ndarray] = {}
         for batch in batches:
-            stage, mate = (np.array(batch.column(c).to_pylist(), dtype=object) for c in ("stage", "mate"))
-            for kind in ("seq", "qual"):
-                texts = batch.column(kind).to_pylist()
-                for key in {(s, m) for s, m in zip(stage, mate, strict=True)}:
-                    own = [(t or "").encode() for t, s, m in zip(texts, stage, mate, strict=True) if (s, m) == key]
-                    sizes = np.array([len(t) for t in own])
-                    if not sizes.sum():
-                        continue
-                    x = np.frombuffer(b"".join(own).upper() if kind == "seq" else b"".join(own), np.uint8)
-                    at = np.arange(len(x)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                    got = np.bincount(at * 256 + x, minlength=int(sizes.max()) * 256)
-                    old = held.get((kind, *key), np.zeros(0, np.int64))
-                    n = max(len(old), len(got))
-                    held[(kind, *key)] = np.pad(old, (0, n - len(old))) + np.pad(got, (0, n - len(got)))
-        for (kind, stage_, mate_), x in held.items():
-            at = np.flatnonzero(x)
-            n = len(at)
-            yield pa.RecordBatch.from_arrays([pa.array([kind] * n, pa.string()), pa.array([stage_] * n, pa.string()), pa.array([mate_] * n, pa.int32()), pa.array(at // 256 + 1, pa.int32()), pa.array(at % 256, pa.int32()), pa.array(x[at], pa.int64())], ["kind", "stage", "mate", "pos", "symbol", "n"])
-
-    parts = rows.select("stage", "mate", "seq", "qual").mapInArrow(run, "kind string, stage string, mate int, pos int, symbol int, n long")
+            for clean in (True, False):
+                rows = batch.filter(pc.equal(batch.column("clean"), clean))
+                for m, prefix, _ in own:
+                    for kind in ("seq", "qual"):
+                        key = (kind, m, prefix, clean)
+                        held[key] = _sum(held.get(key, np.zeros(0, np.int64)), _cells(rows.column(f"{prefix}{kind}{m}")))
+                    key = ("read", m, prefix, clean)
+                    held[key] = held.get(key, 0) + np.array([rows.num_rows])
+        for m, prefix, names in own if held else []:
+            for kind in ("seq", "qual", "read"):
+                parts = held[(kind, m, prefix, True)], held[(kind, m, prefix, False)]
+                for stage in names:
+                    x = parts[0] if stage == "clean" else _sum(*parts)
+                    at = np.flatnonzero(x)
+                    n, pos, symbol = len(at), at // 256 + (kind != "read"), at % 256
+                    if kind == "seq":
+                        symbol = np.where((symbol >= ord("a")) & (symbol <= ord("z")), symbol - 32, symbol)
+                    yield pa.RecordBatch.from_arrays([pa.array([kind] * n, pa.string()), pa.array([stage] * n, pa.string()), pa.array([m] * n, pa.int32()), pa.array(pos, pa.int32()), pa.array(symbol, pa.int32()), pa.array(x[at], pa.int64())], ["kind", "stage", "mate", "pos", "symbol", "n"])
+
+    clean = F.col("reason").isNull() if "clean" in stages else F.lit(True)
+    rows = judged.select(clean.alias("clean"), *(f"{prefix}{kind}{m}" for m, prefix, _ in own for kind in ("seq", "qual")))
+    parts = rows.mapInArrow(run, "kind string, stage string, mate int, pos int, symbol int, n long")
     return parts.groupBy("kind", "stage", "mate", "pos", "symbol").agg(F.sum("n").alias("n"))
 
 
+def general_stats(hist: DataFrame, phred: int = 33) -> DataFrame:
+    """Reads, bases, counts of bases and of good qualities, and lengths, by stage and mate."""
+    total = lambda which: F.coalesce(F.sum(F.when(which, F.col("n"))), F.lit(0))
+    seq, qual, symbol = F.col("kind") == "seq", F.col("kind") == "qual", F.col("symbol")
+    out = hist.groupBy("stage", "mate").agg(
+        total(F.col("kind") == "read").alias("reads"), total(seq).alias("bases"), *(total(seq & (symbol == ord(b))).alias(b.lower()) for b in "ACGTN"),
+        total(qual & (symbol >= 20 + phred)).alias("q20"), total(qual & (symbol >= 30 + phred)).alias("q30"), F.coalesce(F.max(F.when(seq, F.col("pos"))), F.lit(0)).cast("long").alias("max_length"),
+    )
+    return out.withColumn("mean_length", F.round(F.col("bases") / F.col("reads"), 2))
+
+
 def base_by_position(hist: DataFrame) -> DataFrame:
     """Counts and percentages of bases at each position."""
     cells = hist.where("kind = 'seq'")
@@ -133,8 +150,8 @@ def phred_check(reads: DataFrame, p: QCParams, first: int = 20_000) -> int:
     An encoding gets 1 point without a value out of range, 3 times the share in range, and 2 for a mean from 10 to the
     highest quality. A difference under -3 raises; callers may warn below 0.
     """
-    rows = reads.orderBy("ord").limit(first).select(F.explode(F.array(*(F.col(f"qual{m}") for m in p.mates()))).alias("qual"), F.lit("raw").alias("stage"), F.lit(1).alias("mate"), F.lit("").alias("seq"))
-    cells = {r["symbol"]: r["n"] for r in histograms(rows).groupBy("symbol").agg(F.sum("n").alias("n")).collect()}  # 256 rows at most
+    cells = histograms(reads.orderBy("ord").limit(first), p, ("raw",)).where("kind = 'qual'")
+    cells = {r["symbol"]: r["n"] for r in cells.groupBy("symbol").agg(F.sum("n").alias("n")).collect()}  # 256 rows at most
 
     def score(phred: int) -> float:
         total = sum(cells.values())

@@ -41,14 +41,18 @@ class Run:
     def duplicates(self) -> DataFrame:
         return self.judged.where("dup") if "dup" in self.judged.columns else self.judged.limit(0)
 
-    def reports(self) -> dict[str, DataFrame]:
-        p = self.params
-        rows = reports.staged(self.judged, p, reports.STAGES)
-        hist = reports.histograms(reports.staged(self.judged, p))
+    def histograms(self) -> DataFrame:
+        """What four of the reports are made from: a cell a stage, mate, position and symbol."""
+        return reports.histograms(self.judged, self.params, reports.STAGES)
+
+    def reports(self, hist: DataFrame | None = None) -> dict[str, DataFrame]:
+        """The reports by name; hist is :meth:`histograms`, if it is held already."""
+        p, hist = self.params, self.histograms() if hist is None else hist
+        shown = hist.where("stage != 'trim'")
         return {
-            "general": reports.general_stats(rows, p.phred_in), "filter": reports.filter_report(self.judged),
-            "base": reports.base_by_position(hist), "quality": reports.quality_by_position(hist, p.phred_in),
-            "good": reports.good_by_position(hist, p.phred_in), "trim": reports.trim_positions(self.judged, p),
+            "general": reports.general_stats(hist, p.phred_in), "filter": reports.filter_report(self.judged),
+            "base": reports.base_by_position(shown), "quality": reports.quality_by_position(shown, p.phred_in),
+            "good": reports.good_by_position(shown, p.phred_in), "trim": reports.trim_positions(self.judged, p),
         }
 
 

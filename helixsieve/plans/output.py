@@ -19,11 +19,12 @@ def write_report(df: DataFrame, path: str) -> None:
 def write_run(run: Run, folder: str, *, gzip: bool = True, trimmed: bool = False, copies: bool = False, draw: bool = False) -> None:
     """Write a run below a folder.
 
-    The judged reads are kept in memory or on disk meanwhile, for each output reads them; what a lost executor held is
-    computed again.
+    The judged reads and their histograms are kept in memory or on disk meanwhile, for each output reads them; what a
+    lost executor held is computed again.
     """
     p, end = run.params, ".gz" if gzip else ""
     run.judged.persist()
+    hist = run.histograms().persist()
     try:
         clean = run.clean
         if p.split_reads:
@@ -36,10 +37,11 @@ def write_run(run: Run, folder: str, *, gzip: bool = True, trimmed: bool = False
         if copies:
             raw = run.duplicates.drop(*(f"t{c}{m}" for c in ("seq", "qual") for m in p.mates()))
             fastq.write_reads(raw, p, [f"{folder}/copies_{m}.fq{end}" for m in p.mates()])
-        for name, table in run.reports().items():
+        for name, table in run.reports(hist).items():
             write_report(table, f"{folder}/report_{name}")
             if draw and name in plots.DRAWN:
                 drawn = plots.DRAWN[name](table.orderBy("stage", "mate", "pos").collect())  # a row a position
                 table.sparkSession.createDataFrame([(drawn,)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/plot_{name}")
     finally:
+        hist.unpersist()
         run.judged.unpersist()

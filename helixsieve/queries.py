@@ -277,11 +277,11 @@ STAGED = f"WITH j AS (SELECT * FROM ({judged_sql(True)}) x), s AS (" + " UNION A
 @query(f"{STAGED} SELECT stage, mate, count(*) AS reads, sum(length(seq)) AS bases, {', '.join(f'sum({n_of(b, "seq")}) AS {b.lower()}' for b in 'ACGTN')}, sum({count_if('qual', 'q >= 20')}) AS q20, sum({count_if('qual', 'q >= 30')}) AS q30, max(length(seq)) AS max_length FROM s GROUP BY stage, mate")
 def general_stats(spark, sf_dir):
     p = QCParams(**TESTS)
-    return reports.general_stats(reports.staged(judged(spark, sf_dir), p, reports.STAGES)).drop("mean_length")
+    return reports.general_stats(reports.histograms(judged(spark, sf_dir), p, reports.STAGES)).drop("mean_length")
 
 
 def histograms(spark, sf_dir) -> DataFrame:
-    return reports.histograms(reports.staged(judged(spark, sf_dir), QCParams(**TESTS)))
+    return reports.histograms(judged(spark, sf_dir), QCParams(**TESTS))
 
 
 def cells(column: str) -> str:
