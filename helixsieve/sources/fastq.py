@@ -7,9 +7,12 @@ file's place in the list and the record's in the file.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -18,6 +21,10 @@ from helixsieve.params import QCParams
 
 #: Records of one file at most.
 PER_FILE = 1 << 40
+#: Lines of a block that say where its records begin.
+FIRST_LINES = 64
+#: Rows of a table of blocks that is broadcast: some MB.
+MOST_BLOCKS = 100_000
 
 
 def numbered_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
@@ -35,24 +42,145 @@ def numbered_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     return out
 
 
+def _before(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Lines (value, path as a hash, block) and blocks (path, block, before: the lines ahead of the block)."""
+    text = spark.read.text(path)
+    lines = text.select("value", F.xxhash64("_metadata.file_path").alias("path"), F.col("_metadata.file_path").alias("name"), F.col("_metadata.file_block_start").alias("block"))
+    blocks = lines.groupBy("name", "path", "block").agg(F.count("*").alias("n"))
+    # One row a block, and one a part file of a folder: counts run within files, and over them.
+    inside, over = W.partitionBy("name").orderBy("block"), W.orderBy("name")
+    parts = blocks.groupBy("name").agg(F.sum("n").alias("all")).select("name", (F.sum("all").over(over) - F.col("all")).alias("files"))
+    blocks = blocks.withColumn("here", F.sum("n").over(inside) - F.col("n")).join(parts, "name")
+    blocks = blocks.select("path", "block", (F.col("files") + F.col("here")).alias("before"))
+    # As many blocks at most as files, and splits of the bytes; of few, the table is a few MB.
+    size, split = text._jdf.queryExecution().optimizedPlan().stats().sizeInBytes(), spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    few = len(text.inputFiles()) + spark.sparkContext.defaultParallelism + 2 * int(str(size)) // split <= MOST_BLOCKS
+    return lines.drop("name"), F.broadcast(blocks) if few else blocks
+
+
+def _phase(lines: pa.Array, first: bool) -> int | None:
+    """The place of a record's first line among a block's lines: where most often @ is two lines ahead of +.
+
+    A quality may begin with @ or +, but then a sequence is two lines on or back. None if the lines don't say.
+    """
+    at, plus = (pc.starts_with(lines, c).to_numpy(zero_copy_only=False) for c in "@+")
+    votes = np.bincount(np.flatnonzero(at[:-2] & plus[2:]) % 4, minlength=4)
+    best = int(votes.argmax())
+    if (votes == votes[best]).sum() == 1:
+        return best
+    return 0 if first else None
+
+
+def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records of a block's lines (whole), and the lines of records that a block begins or ends in.
+
+    ``at`` is the first line's place in the block. A plain third line is null. The place where records begin is a guess
+    by the block's first lines; who knows the lines ahead of the block must check it.
+    """
+    key, held, at, phase = None, [], 0, None
+    names = ["path", "block", "at", "whole", "id", "seq", "plus", "qual"]
+
+    def rows(whole: bool, first: np.ndarray, *columns: pa.Array | None) -> pa.RecordBatch:
+        n = len(first)
+        texts = [pa.nulls(n, pa.string()) if c is None else c.cast(pa.string()) for c in columns]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, key[0])), pa.array(np.full(n, key[1])), pa.array(first.astype(np.int64)), pa.array(np.full(n, whole)), *texts], names)
+
+    def emit(end: bool) -> Iterator[pa.RecordBatch]:
+        nonlocal held, at, phase
+        lines = pa.concat_arrays(held)
+        if pc.any(pc.ends_with(lines, "\r")).as_py():
+            lines = pc.replace_substring_regex(lines, "\r$", "")
+        if phase is None:
+            phase = _phase(lines, key[1] == 0)
+            start = len(lines) if phase is None else min(phase, len(lines))
+            if start:
+                yield rows(False, at + np.arange(start), lines[:start], None, None, None)
+            lines, at = lines[start:], at + start
+        n = len(lines) // 4
+        if n:
+            first = 4 * np.arange(n)
+            one, two, three, four = (lines.take(pa.array(first + j)) for j in range(4))
+            three = pc.if_else(pc.equal(three, "+"), pa.scalar(None, three.type), three)
+            yield rows(True, at + first, one, two, three, four)
+            lines, at = lines[4 * n :], at + 4 * n
+        if end and len(lines):
+            yield rows(False, at + np.arange(len(lines)), lines, None, None, None)
+        held = [] if end else [lines]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        path, block = (batch.column(c).to_numpy() for c in ("path", "block"))
+        cuts = [0, *(np.flatnonzero((path[1:] != path[:-1]) | (block[1:] != block[:-1])) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if (path[a], block[a]) != key:
+                if held:
+                    yield from emit(True)
+                key, held, at, phase = (path[a], block[a]), [], 0, None
+            held.append(batch.column("value").slice(a, b - a))
+            if sum(map(len, held)) >= FIRST_LINES:
+                yield from emit(False)
+    if held:
+        yield from emit(True)
+
+
+def _pieces(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """ord, id, seq and qual of records, or of lines of records that lie across blocks or weren't recognised."""
+    out = None
+    for i, path in enumerate([paths] if isinstance(paths, str) else paths):
+        lines, blocks = _before(spark, path)
+        rows = lines.mapInArrow(_assemble, "path long, block long, at long, whole boolean, id string, seq string, plus string, qual string").join(blocks, ["path", "block"])
+        line = F.col("before") + F.col("at")
+
+        def record(n: Column, i: int = i, **own: Column) -> Column:
+            ord_ = F.lit(i * PER_FILE) + F.shiftright(n, 2)
+            return F.struct(ord_.alias("ord"), *(own.get(c, F.lit(None).cast("string")).alias(c) for c in ("id", "seq", "qual")))
+
+        def single(n: Column, value: Column, record=record) -> Column:
+            pick = lambda j: F.when(n % 4 == j, value)
+            return record(n, id=pick(0), seq=pick(1), qual=pick(3))
+
+        four = [F.col("id"), F.col("seq"), F.coalesce("plus", F.lit("+")), F.col("qual")]
+        own = F.when(~F.col("whole"), F.array(single(line, F.col("id")))).when(line % 4 == 0, F.array(record(line, id=four[0], seq=four[1], qual=four[3])))
+        rows = rows.select(F.explode(own.otherwise(F.array(*(single(line + j, c) for j, c in enumerate(four))))).alias("x")).select("x.*")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def _gathered(pieces: DataFrame, mates: Sequence[int]) -> DataFrame:
+    """A row a record. Pieces move once, and are sorted by ord once, by their tasks."""
+    return pieces.repartition("ord").groupBy("ord").agg(*(F.max(f"{c}{m}").alias(f"{c}{m}") for m in mates for c in ("id", "seq", "qual")))
+
+
+def _there(mate: int) -> Column:
+    """Whether a record is more than empty lines at a file's end."""
+    return F.coalesce(F.col(f"id{mate}") != "", F.lit(False)) | F.col(f"seq{mate}").isNotNull()
+
+
+def _named(pieces: DataFrame, mate: int) -> DataFrame:
+    return pieces.select("ord", *(F.col(c).alias(f"{c}{mate}") for c in ("id", "seq", "qual")))
+
+
 def read_fastq(spark: SparkSession, paths: str | Sequence[str], mate: int = 1) -> DataFrame:
-    """ord, id1, seq1, qual1 (or of mate 2) of each record; the third line is dropped."""
-    paths = [paths] if isinstance(paths, str) else list(paths)
-    lines = numbered_lines(spark, paths).withColumn("ord", F.col("file") * F.lit(PER_FILE) + F.floor(F.col("line") / 4)).withColumn("part", F.col("line") % 4)
-    pick = lambda i: F.max(F.when(F.col("part") == i, F.col("value")))
-    rows = lines.where("part != 2").groupBy("ord").agg(pick(0).alias(f"id{mate}"), pick(1).alias(f"seq{mate}"), pick(3).alias(f"qual{mate}"))
-    return rows.where(f"id{mate} != '' or seq{mate} is not null")
+    """ord, id1, seq1, qual1 (or of mate 2) of each record; the third line is dropped.
+
+    Tasks put records together where they read them. Lines of records that lie across blocks, and of blocks whose records
+    begin elsewhere than their first lines suggest, meet by their numbers.
+    """
+    return _gathered(_named(_pieces(spark, paths), mate), [mate]).where(_there(mate))
 
 
 def read_pairs(spark: SparkSession, paths1: str | Sequence[str], paths2: str | Sequence[str], *, check: bool = True) -> DataFrame:
-    """Mates by place. With check a record without its mate fails the run when it is met."""
-    one, two = read_fastq(spark, paths1, 1), read_fastq(spark, paths2, 2)
+    """Mates by place, brought together by the one exchange that completes records.
+
+    With check a record without its mate fails the run when it is met; without, it is left out.
+    """
+    one, two = _named(_pieces(spark, paths1), 1), _named(_pieces(spark, paths2), 2)
+    pairs = _gathered(one.unionByName(two, allowMissingColumns=True), (1, 2))
     if not check:
-        return one.join(two, "ord")
-    pairs = one.join(two, "ord", "full")
-    alone = F.col("id1").isNull() | F.col("id2").isNull()
+        return pairs.where(_there(1) & _there(2))
     message = F.concat(F.lit("the files differ in length: record "), F.col("ord").cast("string"), F.lit(" has no mate"))
-    return pairs.withColumn("id1", F.when(alone, F.raise_error(message).cast("string")).otherwise(F.col("id1")))
+    return pairs.where(_there(1) | _there(2)).withColumn("id1", F.when(_there(1) & _there(2), F.col("id1")).otherwise(F.raise_error(message).cast("string")))
 
 
 def read_file_lists(spark: SparkSession, list1: str, list2: str) -> DataFrame:

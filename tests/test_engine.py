@@ -250,3 +250,38 @@ def test_likely_duplicates_has_no_idle_parameter():
     from helixsieve.operators import selection
 
     assert list(inspect.signature(selection.likely_duplicates).parameters) == ["df", "seqs"]
+
+
+def test_fastq_by_line_numbers(spark, tmp_path):
+    """Records are four lines by number, whatever the lines look like and wherever blocks are cut."""
+    import random
+
+    rng = random.Random(5)
+    odd = ["@", "+", "@x", "+y", "", "ACGT", "@r +", "IIII"]
+
+    def lines(kind):
+        if kind == "good":
+            return [x for i in range(300) for x in (f"@r{i}", "ACGT" * rng.randint(1, 9), rng.choice(["+", f"+r{i}"]), rng.choice("@+I") + "I" * rng.randint(3, 30))]
+        if kind == "bad":  # records without @, or without + in the third line
+            return [x for i in range(300) for x in (rng.choice(["r", "@r"]) + str(i), "ACGT", rng.choice(["+", "-"]), "@III")]
+        if kind == "shifted":  # a line too many in the middle: later lines look like records at other places
+            own = lines("good")
+            return own[:600] + ["extra"] + own[600:]
+        return [rng.choice(odd) for _ in range(801)] + ["end"]
+
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for kind in ("good", "bad", "shifted", "noise"):
+        path, own = tmp_path / kind, lines(kind)
+        path.write_text("\n".join(own) + "\n\n")
+        want = [(k // 4, own[k], own[k + 1], own[k + 3]) for k in range(0, len(own) - 3, 4)]
+        for size, most in ((61, 100_000), (700, 0), (1 << 20, 100_000)):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            fastq.MOST_BLOCKS, held = most, fastq.MOST_BLOCKS
+            try:
+                got = [(r["ord"], r["id1"], r["seq1"], r["qual1"]) for r in fastq.read_fastq(spark, str(path)).orderBy("ord").collect()]
+            finally:
+                fastq.MOST_BLOCKS = held
+                spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+            assert [r for r in got if 4 * r[0] + 3 < len(own)] == want, (kind, size)
+    (tmp_path / "none").write_text("")
+    assert fastq.read_fastq(spark, str(tmp_path / "none")).count() == 0
