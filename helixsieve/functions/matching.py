@@ -15,10 +15,11 @@ import math
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from helixsieve.functions.arrow import flat
 from helixsieve.params import QCParams
 
 N = ord("N")
@@ -42,19 +43,22 @@ def _hits(reads: np.ndarray, pattern: np.ndarray, allowed: int, run: int, neutra
 def first_hit(reads: np.ndarray, pattern: str, plan: Sequence[Alignment], neutral_n: bool) -> np.ndarray:
     """For equally long reads (rows of bytes) the result of the first alignment that hits, or -1."""
     out, own = np.full(len(reads), -1, np.int32), _bytes(pattern)
-    left = np.arange(len(reads))
+    columns, open_ = np.ascontiguousarray(reads.T), np.ones(len(reads), bool)
+    free = columns == N if neutral_n else None
     for at, start, length, allowed, run, result in plan:
-        if not len(left):
-            break
-        part = reads[left, at : at + length]
         # Sifts out most reads: a hit has a run of matches, or few mismatches, among its first columns.
         head = min(length, 8 + allowed)
-        some = np.flatnonzero((part[:, :head] == own[start : start + head]).sum(1) + (neutral_n * (part[:, :head] == N)).sum(1) >= min(head - allowed, run))
+        same = columns[at : at + head] == own[start : start + head, None]
+        if neutral_n:
+            same |= free[at : at + head]
+        some = np.flatnonzero(open_ & (np.add.reduce(same, axis=0, dtype=np.uint16) >= min(head - allowed, run)))
         if not len(some):
             continue
-        hit = some[_hits(part[some], own[start : start + length], allowed, run, neutral_n)]
-        out[left[hit]] = result
-        left = np.delete(left, hit)
+        hit = some[_hits(reads[some, at : at + length], own[start : start + length], allowed, run, neutral_n)]
+        out[hit] = result
+        open_[hit] = False
+        if not open_.any():
+            break
     return out
 
 
@@ -268,32 +272,35 @@ def overlap_length(one: np.ndarray, two: np.ndarray, least: int, mismatch: float
     return out
 
 
-def _matrices(*columns: pd.Series) -> Iterator[tuple]:
+def _matrices(*columns: pa.Array) -> Iterator[tuple]:
     """Rows of one length (of each column), and their reads as matrices; null and empty reads are left out."""
-    data = [[None if s is None else s.encode() for s in c] for c in columns]
-    sizes = np.array([[0 if s is None else len(s) for s in own] for own in data]).reshape(len(columns), -1)
+    data = [flat(c) for c in columns]
+    sizes = np.array([np.diff(edges) for _, edges in data])
     kinds, of = np.unique(sizes, axis=1, return_inverse=True)
     for k, size in enumerate(kinds.T.tolist()):
         if all(size):
-            at = np.flatnonzero(of == k)
-            yield at, *(np.frombuffer(b"".join(own[i] for i in at), np.uint8).reshape(len(at), n) for own, n in zip(data, size, strict=True))
+            at = np.flatnonzero(of.ravel() == k)
+            # Reads of one length lie as the matrix that they are; others are picked.
+            yield at, *(x.reshape(-1, n) if len(kinds.T) == 1 else x[edges[at][:, None] + np.arange(n)] for (x, edges), n in zip(data, size, strict=True))
 
 
-def by_length(seqs: pd.Series, own: Callable[[np.ndarray], np.ndarray], empty) -> pd.Series:
+def by_length(seqs: pa.Array, own: Callable[[np.ndarray], np.ndarray], empty) -> np.ndarray:
     """Apply a function of equally long reads to reads of any length."""
     out = np.full(len(seqs), empty)
     for at, reads in _matrices(seqs):
         out[at] = own(reads)
-    return pd.Series(out)
+    return out
 
 
 def _udf(own: Callable[[np.ndarray], np.ndarray], empty, kind: str):
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    to = pa.bool_() if kind == "boolean" else pa.int32()
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for seqs in batches:
-            yield by_length(seqs, own, empty)
+            yield pa.array(by_length(seqs, own, empty), to)
 
-    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return F.pandas_udf(run, kind)
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, kind)
 
 
 def adapter_position_of(seq: Column, p: QCParams, mate: int) -> Column:
@@ -307,14 +314,14 @@ def contaminant_position_of(seq: Column, p: QCParams, mate: int) -> Column:
 
 
 def global_positions_of(seq: Column, p: QCParams) -> Column:
-    def run(seqs: pd.Series) -> pd.DataFrame:
-        out = pd.DataFrame({"five": np.full(len(seqs), -1), "three": np.full(len(seqs), -1)})
+    def run(seqs: pa.Array) -> pa.Array:
+        five, three = np.full((2, len(seqs)), -1, np.int32)
         for at, reads in _matrices(seqs):
-            out.loc[at, "five"], out.loc[at, "three"] = global_positions(reads, p.global_contams, p.global_ratios, p.global_mismatches, p.min_length)
-        return out
+            five[at], three[at] = global_positions(reads, p.global_contams, p.global_ratios, p.global_mismatches, p.min_length)
+        return pa.StructArray.from_arrays([pa.array(five), pa.array(three)], ["five", "three"])
 
-    run.__annotations__ = {"seqs": pd.Series, "return": pd.DataFrame}
-    return F.pandas_udf(run, "five int, three int")(seq)
+    run.__annotations__ = {"seqs": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, "five int, three int")(seq)
 
 
 def srna_three_prime_of(seq: Column, p: QCParams) -> Column:
@@ -328,11 +335,11 @@ def srna_five_prime_of(seq: Column, p: QCParams) -> Column:
 
 
 def overlap_of(seq1: Column, seq2: Column, p: QCParams) -> Column:
-    def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = np.full(len(a), -1)
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        out = np.full(len(a), -1, np.int32)
         for at, one, two in _matrices(a, b):
             out[at] = overlap_length(one, two, p.overlap or 0, p.overlap_mismatch)
-        return pd.Series(out)
+        return pa.array(out)
 
-    run.__annotations__ = {"a": pd.Series, "b": pd.Series, "return": pd.Series}
-    return F.pandas_udf(run, "int")(seq1, seq2)
+    run.__annotations__ = {"a": pa.Array, "b": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, "int")(seq1, seq2)

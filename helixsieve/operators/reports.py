@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from helixsieve.functions.arrow import flat
 from helixsieve.operators.trims import winning_cuts
 from helixsieve.params import QCParams
 
@@ -19,12 +20,11 @@ STAGES = ("raw", "trim", "clean")
 
 def _cells(texts: pa.Array) -> np.ndarray:
     """Counts of bytes by place and byte, flat: 256 cells a place."""
-    texts = pc.fill_null(texts, "")
-    if not len(texts) or texts.buffers()[2] is None:
+    x, edges = flat(texts)
+    if not len(x):
         return np.zeros(0, np.int64)
-    edges = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
-    x, sizes = np.frombuffer(texts.buffers()[2], np.uint8)[edges[0] : edges[-1]], np.diff(edges)
-    at = np.arange(len(x)) - np.repeat(edges[:-1] - edges[0], sizes)
+    sizes = np.diff(edges)
+    at = np.arange(len(x)) - np.repeat(edges[:-1], sizes)
     return np.bincount(at * 256 + x, minlength=int(sizes.max()) * 256)
 
 
