@@ -527,10 +527,10 @@ def sam_qcfail_flag(spark, sf_dir):
 
 @query(f"SELECT row_number() OVER (ORDER BY ord) - 1 AS ord, id1, seq1, qual1 FROM {R}")
 def fastq_round_trip(spark, sf_dir):
-    """Reads written as gzip-compressed FASTQ, in order, and read back."""
+    """Reads written as gzip-compressed FASTQ, in order over the files of a folder, and read back."""
     path = scratch_path(spark, "fastq")
     p = QCParams(paired=False)
-    fastq.write_reads(reads(spark, sf_dir), p, [path + ".gz"], one_file=True)
+    fastq.write_reads(reads(spark, sf_dir), p, [path + ".gz"])
     return fastq.read_fastq(spark, path + ".gz")
 
 

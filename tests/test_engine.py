@@ -8,6 +8,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
+from helixsieve import queries as Q
 from helixsieve.functions import features as X
 from helixsieve.operators import alignments, barcodes, cascade, reports, selection, trims
 from helixsieve.params import QCParams
@@ -285,3 +286,13 @@ def test_fastq_by_line_numbers(spark, tmp_path):
             assert [r for r in got if 4 * r[0] + 3 < len(own)] == want, (kind, size)
     (tmp_path / "none").write_text("")
     assert fastq.read_fastq(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_round_trip_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr("helixsieve.fixtures.LEAST", 100)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = Q.fastq_round_trip(spark, "/root/testdata/sf0.001")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(got.inputFiles()) > 1 and got.count() == 1500
