@@ -7,20 +7,29 @@ from pyspark.sql import functions as F
 
 from helixsieve.params import QCParams
 
-#: Rows of a barcode list up to which its expansion (31 strings for 10 bases) is broadcast.
-BROADCAST_ROWS = 50_000
+#: Strings of an expansion (31 a barcode of 10 bases, of which there are 4**10) up to which it is broadcast.
+BROADCAST_ROWS = 2_000_000
 
 
 def expand(barcodes: DataFrame) -> DataFrame:
     """(segment, barcode_id) of every string within one substitution of ACGT; later entries of the list win.
 
-    barcodes: barcode, barcode_id and ord, the place in the list.
+    barcodes: barcode, barcode_id and ord, the place in the list. Equal barcodes are one before they expand.
     """
+    barcodes = barcodes.groupBy("barcode").agg(F.max_by("barcode_id", "ord").alias("barcode_id"), F.max("ord").alias("ord"))
     at = F.explode(F.sequence(F.lit(1), F.length("barcode"))).alias("at")
     spots = barcodes.select("barcode", "barcode_id", "ord", at)
     spots = spots.select("*", F.explode(F.array(*map(F.lit, "ACGT"))).alias("base"))
     segment = F.concat(F.substr("barcode", F.lit(1), F.col("at") - 1), "base", F.substr("barcode", F.col("at") + 1))
-    return spots.groupBy(segment.alias("segment")).agg(F.max_by("barcode_id", F.struct("ord", "at", "base")).alias("barcode_id"))
+    return spots.groupBy(segment.alias("segment")).agg(F.max_by("barcode_id", "ord").alias("barcode_id"))
+
+
+def most_segments(barcodes: DataFrame) -> int:
+    """How many rows an expansion has at most: of the letters ACGT, no more than there are strings of these lengths."""
+    odd = F.when(~F.col("barcode").rlike("^[ACGT]*$"), F.col("barcode"))
+    kinds = barcodes.groupBy(F.length("barcode").alias("n")).agg(F.countDistinct("barcode").alias("all"), F.countDistinct(odd).alias("odd"))
+    size = lambda r: 4 * max(r["n"], 2)
+    return sum(min(size(r) * r["all"], 4 ** r["n"] + size(r) * r["odd"]) for r in kinds.collect() if r["n"] is not None)  # a row a length
 
 
 def with_barcodes(df: DataFrame, barcodes: DataFrame, p: QCParams) -> DataFrame:
@@ -30,7 +39,7 @@ def with_barcodes(df: DataFrame, barcodes: DataFrame, p: QCParams) -> DataFrame:
     """
     regions = sorted(p.barcode_regions)
     known = expand(barcodes)
-    if barcodes.count() <= BROADCAST_ROWS:
+    if most_segments(barcodes) <= BROADCAST_ROWS:
         known = F.broadcast(known)
     for i, (start, length) in enumerate(regions, 1):
         own = known.select(F.col("segment").alias(f"_s{i}"), F.col("barcode_id").alias(f"b{i}"))

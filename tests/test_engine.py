@@ -296,3 +296,19 @@ def test_round_trip_by_many_tasks(spark, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert len(got.inputFiles()) > 1 and got.count() == 1500
+
+
+def test_equal_barcodes_expand_once(spark):
+    own = spark.createDataFrame([("ACGT", i, i) for i in range(500)] + [("TTTT", 600, 600), ("ANGT", 700, 700)], "barcode string, barcode_id int, ord long")
+    known = barcodes.expand(own)
+    assert "SortAggregate" not in known._jdf.queryExecution().executedPlan().toString()
+    got = {r["segment"]: r["barcode_id"] for r in known.collect()}
+    assert got["ACGA"] == 499 and got["TTTA"] == 600 and got["ACGT"] == got["AAGT"] == got["ANGA"] == 700
+    assert len(got) <= barcodes.most_segments(own) == 2 * 16 + 16
+
+
+def test_long_barcode_lists_leave_reads_where_they_are(spark):
+    own = spark.range(60_000).select(F.translate(F.lpad(F.conv(F.col("id").cast("string"), 10, 4), 10, "0"), "0123", "ACGT").alias("barcode"), F.col("id").cast("int").alias("barcode_id"), F.col("id").alias("ord"))
+    df = Q.reads(spark, "/root/testdata/sf0.001")
+    plan = barcodes.with_barcodes(df, own, QCParams(module="filterStLFR"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan
