@@ -54,12 +54,20 @@ FROM (SELECT r.*, n, lo FROM ({READS}) r CROSS JOIN (SELECT count(*) AS n, min(p
 PREPARED: dict[str, str] = {}
 
 
+#: Rows that a task derives reads from, where there are enough of them, and at most.
+LEAST, MOST = 10_000, 100_000
+
+
 def reads(spark, sf_dir: str, sql: str = READS):
     """The reads of a data folder."""
     if sql in PREPARED:
         return spark.read.parquet(PREPARED[sql])
-    for name in ("orders", "part"):
-        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
+    for name, key in (("orders", "o_orderkey"), ("part", "p_partkey")):
+        df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        # A row becomes 600 bytes of reads: a row group of keys, which one task reads, would be a task's work many times over.
+        n = df.count()
+        tasks = max(min(spark.sparkContext.defaultParallelism, n // LEAST), n // MOST, 1)
+        df.repartition(tasks, key).createOrReplaceTempView(name)
     return spark.sql(sql)
 
 

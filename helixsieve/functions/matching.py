@@ -148,12 +148,51 @@ class _Extents:
         self.right, self.long, self.wrong = self.right[rows], self.long[rows], self.wrong[rows]
 
 
-def global_position(reads: np.ndarray, contam: str, ratio: float, allowed: int) -> np.ndarray:
+def _near(reads: np.ndarray, own: np.ndarray, least: int, allowed: int) -> Callable[[int, int, int, int], np.ndarray] | None:
+    """A sift of reads for an offset: those with ``least`` columns, or as many but one at its beginning, all but ``allowed`` equal.
+
+    Any ``least`` - 1 consecutive columns hold a whole block of ``least`` // 2 columns of the contaminant, so blocks are
+    compared once at each place of the reads, for all offsets. None if blocks say nothing.
+    """
+    size, block = reads.shape[1], least // 2
+    if block <= allowed:
+        return None
+    columns, near = np.ascontiguousarray(reads.T), {}
+    for p in range(0, len(own) - block + 1, block):
+        for r in range(size - block + 1):
+            same = columns[r] == own[p]
+            equal = same.view(np.uint8).copy() if block < 256 else same.astype(np.int32)
+            for j in range(1, block):
+                equal += columns[r + j] == own[p + j]
+            rows = np.flatnonzero(equal >= block - allowed)
+            if len(rows):
+                near[p, r] = rows
+
+    def rows_of(at: int, skip: int, length: int, most: int) -> np.ndarray:
+        parts = [near[p, at + p - skip] for p in range(-(-skip // block) * block, skip + length - block + 1, block) if (p, at + p - skip) in near]
+        if not parts:
+            return np.zeros(0, np.int64)
+        rows = np.unique(np.concatenate(parts))
+        wrong = np.zeros((len(rows), length + 1), np.int32)
+        np.cumsum(reads[rows, at : at + length] != own[skip : skip + length], axis=1, out=wrong[:, 1:])
+        fits = wrong[:, min(length, most)] <= allowed
+        if length >= least:
+            fits |= (wrong[:, least:] - wrong[:, : length - least + 1] <= allowed).any(1)
+        return rows[fits]
+
+    return rows_of
+
+
+def global_position(reads: np.ndarray, contam: str, ratio: float, allowed: int, *, sift: bool = True) -> np.ndarray:
     """Place of a global contaminant in each read: its end at the head (0), whole in the middle, its beginning at the tail.
 
     The three are sought in this order, each over its offsets in order. A hit is an extent of ``least`` columns. Between
     extents an offset is left once fewer than ``least`` of its columns remain; at the tail an equal column there still
     begins an extent, which goes on at the next offset. So what an offset finds depends on those before it.
+
+    Of head and middle no extent goes on at the next offset, so an offset is laid out for those reads alone that may hit
+    there. At the tail one of one column may, so an offset hits only if ``least`` columns of it, or its first ``least`` - 1,
+    have no more mismatches than allowed; reads without such an offset are left out. Without ``sift`` none is.
     """
     n, size = reads.shape
     own, out, todo = _bytes(contam), np.full(n, -1, np.int32), np.arange(n)
@@ -161,9 +200,16 @@ def global_position(reads: np.ndarray, contam: str, ratio: float, allowed: int)
     head = [(0, skip, min(size, len(own) - skip)) for skip in range(len(own) - least, -1, -1)]
     whole = [(at, 0, len(own)) for at in range(size - len(own) + 1)]
     tail = [(at, 0, size - at) for at in range(max(0, size - len(own)), size - least + 1)]
-    for part in (head, whole, tail):
+    near = _near(reads, own, least, allowed) if sift and 0 <= allowed <= SEEN else None
+    parts = [(part, [offset]) for part in (head, whole) for offset in part] + [(tail, tail)] if near else [(part, part) for part in (head, whole, tail)]
+    for part, offsets in parts:
+        if near:
+            rows = np.unique(np.concatenate([near(*o, least - 1) for o in offsets])) if offsets else np.zeros(0, np.int64)
+            todo = rows[out[rows] == -1]
+            if not len(todo):
+                continue
         found = _Extents(len(todo), allowed)
-        for at, skip, length in part:
+        for at, skip, length in offsets:
             same = reads[todo, at : at + length] == own[skip : skip + length]
             here = np.ones(len(todo), bool)  # reads that haven't left this offset
             hit = np.full(len(todo), -1, np.int32)
@@ -183,7 +229,9 @@ def global_position(reads: np.ndarray, contam: str, ratio: float, allowed: int)
                 found.only(hit == -1)
                 todo = todo[hit == -1]
             if not len(todo):
-                return out
+                break
+        if not near and not len(todo):
+            return out
     return out
 
 

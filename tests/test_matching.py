@@ -183,3 +183,20 @@ def test_overlap():
     one, two = "GGGG" + insert, M.reverse_complement(insert + "TTTT")
     assert M.overlap_length(matrix([one]), matrix([two]), 20, 0.0).tolist() == [len(insert)]
     assert M.overlap_length(matrix(["A" * 30]), matrix(["A" * 30]), 20, 0.1).tolist() == [-1]
+
+
+def test_global_contaminants_sift(monkeypatch):
+    rng, letters = np.random.default_rng(7), np.frombuffer(b"ACGTN", np.uint8)
+    for _ in range(150):
+        kinds, long, size = rng.integers(2, 5), rng.integers(1, 40), rng.integers(1, 60)
+        own, reads = letters[rng.integers(0, kinds, long)], letters[rng.integers(0, kinds, (40, size))]
+        for row in reads:
+            at, n = rng.integers(0, size), rng.integers(0, long + 1)
+            row[at : at + n] = own[: len(row[at : at + n])]
+            row[rng.integers(0, size)] = letters[rng.integers(0, 5)]
+        args = reads, own.tobytes().decode(), float(rng.choice([0.1, 0.3, 0.5, 0.7, 1.0])), int(rng.integers(0, 8))
+        assert (M.global_position(*args) == M.global_position(*args, sift=False)).all()
+    laid = []
+    monkeypatch.setattr(M, "_Extents", lambda n, allowed, own=M._Extents: laid.append(n) or own(n, allowed))
+    M.global_position(letters[rng.integers(0, 4, (1000, 128))], "AGATCGGAAGAGCACACGTCTGAACTCCAGTC", 0.5, 1)
+    assert sum(laid) < 100
